@@ -58,6 +58,8 @@ LABELLED = np.array(
         (12, 0.0, 0, 0.0, 0, 0.0, 0, 1), (40, 0.0, 0, 0.0, 0, 0.0, 0, 1),
         (2, 0.0, 9, 0.0, 12, 0.0, 1, 1), (5, 0.0, 7, 0.0, 4, 0.0, 1, 1), (8, 0.0, 6, 0.0, 9, 0.0, 1, 1), (3, 0.0, 60, 0.0, 6, 0.0, 1, 1),
         (12, 0.0, 8, 0.0, 3, 0.0, 1, 1), (1, 0.0, 5, 0.0, 4, 0.0, 1, 1), (6, 0.0, 90, 0.0, 8, 0.0, 1, 1), (25, 0.0, 7, 0.0, 9, 0.0, 1, 1),
+        (2, 0.0, 3, 0.0, 2, 0.0, 1, 1), (5, 0.0, 4, 0.0, 3, 0.0, 1, 1), (1, 0.0, 2, 0.0, 1, 0.0, 1, 1), (3, 0.0, 30, 0.0, 2, 0.0, 1, 1),
+        (4, 0.0, 1, 0.0, 2, 0.0, 1, 1), (9, 0.0, 2, 1.0, 3, 0.0, 1, 1), (3, 0.0, 2, 0.9, 2, 0.0, 1, 1), (6, 0.0, 2, 0.0, 45, 0.0, 1, 1),
         (15, 0.0, 0, 0.0, 0, 0.0, -1, 0), (30, 0.0, 0, 0.0, 50, 0.0, -1, 0), (90, 0.0, 70, 0.0, 60, 0.0, -1, 0), (4, 0.0, 3, 0.0, 80, 0.0, -1, 0),
         (2, 0.0, 60, 0.0, 70, 0.0, -1, 0), (45, 0.05, 9, 0.0, 12, 0.0, -1, 0), (20, 0.0, 60, 0.0, 25, 0.0, -1, 0), (70, 0.0, 0, 0.0, 9, 0.0, -1, 0),
     ]
