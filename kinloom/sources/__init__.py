@@ -1 +1,109 @@
+"""Sources and sinks: tab-separated records, truth and match lists, Parquet caches, reports."""
 
+from __future__ import annotations
+
+import json
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+RAW = "entity_id string, business_name string, business_address string, country string"
+TRUTH = "source1_entity_id string, matched_entity_ids string"
+TSV = {"sep": "\t", "header": True, "encoding": "UTF-8", "quote": '"', "escape": '"', "enforceSchema": True}
+
+
+def dataset_folder(candidates: list[str]) -> str:
+    """The first folder that holds train/ and test/."""
+    for c in candidates:
+        if all(os.path.isdir(os.path.join(c, s)) for s in ("train", "test")):
+            return c
+    raise FileNotFoundError(f"none of {candidates} holds train/ and test/")
+
+
+def source_path(folder: str, split: str, source: int) -> str:
+    return f"{folder}/{split}/{split}_source{source}.tsv"
+
+
+def truth_path(folder: str, split: str) -> str:
+    return f"{folder}/{split}/{split}_ground_truth.tsv"
+
+
+def source_of(entity_id):
+    """1, 2 or 3 by the id's prefix, else 0."""
+    return F.when(entity_id.startswith("S1-"), 1).when(entity_id.startswith("S2-"), 2).when(entity_id.startswith("S3-"), 3).otherwise(0).cast("byte")
+
+
+def read_source(spark: SparkSession, path: str, source: int | None = None, limit: int | None = None) -> DataFrame:
+    """One source; missing values are empty strings. `limit` takes the least ids, so that it is repeatable."""
+    df = spark.read.options(**TSV).schema(RAW).csv(path).na.fill("")
+    df = df.withColumn("source", F.lit(source).cast("byte") if source else source_of(F.col("entity_id")))
+    return df.orderBy("entity_id").limit(limit) if limit else df
+
+
+def read_sources(spark: SparkSession, folder: str, split: str, sources=(1, 2, 3)) -> DataFrame:
+    out = None
+    for s in sources:
+        one = read_source(spark, source_path(folder, split, s), s)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def wrong_prefixes(df: DataFrame, most: int = 5) -> DataFrame:
+    """The first rows whose id contradicts their source."""
+    return df.where(source_of(F.col("entity_id")) != F.col("source")).orderBy("entity_id").limit(most)
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """s1_id and the array of its matches; empty for a singleton."""
+    raw = spark.read.options(**TSV).schema(TRUTH).csv(path).na.fill("")
+    return raw.select(F.col("source1_entity_id").alias("s1_id"), F.filter(F.split("matched_entity_ids", ","), lambda x: F.trim(x) != "").alias("matches"))
+
+
+def truth_pairs(truth: DataFrame) -> DataFrame:
+    return truth.select("s1_id", F.explode("matches").alias("pool_id")).distinct()
+
+
+def write_cache(df: DataFrame, path: str) -> int:
+    """Normalised records as zstd Parquet by source; the row count is checked after the write."""
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy("source").parquet(path)
+    wrote, there = df.count(), df.sparkSession.read.parquet(path).count()
+    if wrote != there:
+        raise RuntimeError(f"{path} holds {there} of {wrote} rows")
+    return there
+
+
+def cached(df: DataFrame, path: str) -> DataFrame:
+    """The cache at `path`, made anew unless it has as many rows as `df`."""
+    spark = df.sparkSession
+    try:
+        if spark.read.parquet(path).count() == df.count():
+            return spark.read.parquet(path)
+    except Exception as e:  # no such path yet
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+    write_cache(df, path)
+    return spark.read.parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str, sources=(1, 2, 3), columns: list[str] | None = None) -> DataFrame:
+    df = spark.read.parquet(path)
+    if columns and (bad := set(columns) - set(df.columns)):
+        raise ValueError(f"unknown columns: {sorted(bad)}")
+    df = df.where(F.col("source").isin(*sources))
+    return df.select(*dict.fromkeys(["entity_id", *columns])) if columns else df
+
+
+def id_lists(entities: DataFrame, pairs: DataFrame, name: str = "matched_entity_ids") -> DataFrame:
+    """One row an entity of S1, with its pool ids distinct, sorted and comma-joined; empty if it has none."""
+    lists = pairs.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_set("pool_id")), ",").alias(name))
+    return entities.select("s1_id").join(lists, "s1_id", "left").select(F.col("s1_id").alias("source1_entity_id"), F.coalesce(name, F.lit("")).alias(name))
+
+
+def write_lists(lists: DataFrame, path: str) -> None:
+    lists.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+
+
+def write_report(report: dict, path: str) -> None:
+    with open(path, "w") as f:
+        json.dump(report, f, indent=2, sort_keys=True)

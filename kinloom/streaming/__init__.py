@@ -1 +1,17 @@
+"""Entities as a stream against a static pool of records."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..operators.blocking import DEFAULT, candidates
+
+
+def link_stream(entities: DataFrame, pool_norm: DataFrame, path: str, checkpoint: str, strategies=DEFAULT, **options):
+    """Starts a query that appends the candidate pairs of each micro-batch of normalised entities to `path`."""
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        # A batch that is run again replaces what it wrote before.
+        candidates(df.unionByName(pool_norm), strategies, **options).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return entities.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
