@@ -72,7 +72,7 @@ def jaro_winkler(a: str, b: str) -> float:
     m = len(left)
     if not m:
         return 0.0
-    turned = sum(x != y for x, y in zip(left, (c for c, u in zip(b, used) if u))) / 2
+    turned = sum(x != y for x, y in zip(left, (c for c, u in zip(b, used) if u))) // 2
     jaro = (m / len(a) + m / len(b) + (m - turned) / m) / 3
     prefix = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
     return jaro + 0.1 * prefix * (1 - jaro) if jaro > 0.7 else jaro

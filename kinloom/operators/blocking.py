@@ -62,7 +62,12 @@ def postings(norm: DataFrame, strategies=DEFAULT) -> DataFrame:
     unknown = set(strategies) - set(STRATEGIES)
     if unknown:
         raise ValueError(f"unknown strategies: {sorted(unknown)}")
-    keys = F.concat(*[F.transform(STRATEGIES[s][1](), lambda k, s=s: F.struct(F.lit(s).alias("strategy"), F.concat_ws("|", F.lit(STRATEGIES[s][0]), k).alias("key"))) for s in strategies])
+
+    def keyed(s: str) -> Column:
+        prefix, keys = STRATEGIES[s]
+        return F.transform(keys(), lambda k: F.struct(F.lit(s).alias("strategy"), F.concat_ws("|", F.lit(prefix), k).alias("key")))
+
+    keys = F.concat(*map(keyed, strategies))
     some = norm.where("name_norm != '' or address_core != ''")
     return some.select("entity_id", F.explode(keys).alias("k")).select("k.strategy", "k.key", "entity_id").where(F.length("key") <= LONGEST_KEY)
 

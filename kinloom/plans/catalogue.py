@@ -1,4 +1,352 @@
-"""Queries over the reference domain; filled in as operators are added."""
+"""Registered queries over the linkage operators, each with SQL where SQL can express it."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import sources
+from ..functions import similarity as S
+from ..functions import text as T
+from ..functions import vocab as V
+from ..operators import blocking, features, matching, model, profile
+from ..operators.normalise import normalise
+from . import frames as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+GRID = [round(0.05 * k, 2) for k in range(1, 20)]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _owned(n: DataFrame) -> DataFrame:
+    return matching.resolve(R.claims(n), 0.3)
+
+
+def _scores(n: DataFrame) -> DataFrame:
+    return matching.entity_scores(R.entities(n), R.truth(n), _owned(n))
+
+
+def _lists(n: DataFrame) -> DataFrame:
+    return sources.id_lists(R.entities(n), _owned(n))
+
+
+# Normalisation
+
+
+@query(f"WITH {R.RECORDS} SELECT entity_id, source, business_name, business_address, country FROM rec")
+def records(spark, sf_dir):
+    return R.records(spark, sf_dir).drop("head")
+
+
+@query(f"WITH {R.RECORDS} SELECT entity_id, lower(country) AS country_norm FROM rec")
+def norm_country(spark, sf_dir):
+    return R.records(spark, sf_dir).select("entity_id", T.normalise_country(F.concat(F.lit("  "), "country")).alias("country_norm"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS name FROM customer")
+def norm_missing(spark, sf_dir):
+    c = R.read(spark, sf_dir, "customer")
+    raw = F.when(F.col("c_custkey") % 4 == 0, F.element_at(F.array(*map(F.lit, (" NULL ", "n/a", "--", "Nil"))), (F.col("c_custkey") / 4 % 4 + 1).cast("int"))).otherwise(F.col("c_name"))
+    return c.select("c_custkey", T.clean_missing(raw).alias("name"))
+
+
+@query(f"WITH {R.RECORDS} SELECT entity_id, array_to_string({R.clean_sql('business_name')}, ' ') AS tokens FROM rec")
+def basic_clean(spark, sf_dir):
+    return R.records(spark, sf_dir).select("entity_id", F.array_join(T.basic_clean(F.col("business_name")), " ").alias("tokens"))
+
+
+@query(f"WITH {R.RECORDS} SELECT entity_id, {R._fold_sql('business_name')} AS folded FROM rec")
+def translit_collapse(spark, sf_dir):
+    return R.records(spark, sf_dir).select("entity_id", T.fold(F.col("business_name")).alias("folded"))
+
+
+_TLD = ", ".join(f"'{d}'" for d in V.TOP_LEVEL_DOMAINS)
+_HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
+
+
+@query(f"SELECT page_id, {_HOST} AS host, list_contains([{_TLD}], string_split({_HOST}, '.')[-1]) AND contains({_HOST}, '.') AS is_domain FROM pages")
+def domain_hosts(spark, sf_dir):
+    host = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
+    return R.read(spark, sf_dir, "pages").select("page_id", host.alias("host"), T.looks_like_domain(host).alias("is_domain"))
+
+
+@query("SELECT p_partkey, lower(p_name) || ' international services' AS name FROM part")
+def name_abbrev_expand(spark, sf_dir):
+    p = R.read(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" Intl. SVCS")).alias("raw"))
+    return p.select("p_partkey", F.array_join(T.name_tokens(F.col("raw")), " ").alias("name"))
+
+
+_SUFFIX = ((" Private Limited", "pvt ltd"), (" Inc.", "inc"), (" of Company", "co"), ("", ""), (" PVT. LTD.", "pvt ltd"), (" LLC", "llc"))
+
+
+@query("SELECT p_partkey, lower(p_name) AS core, CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, (_, v) in enumerate(_SUFFIX)) + " END AS legal FROM part")
+def legal_strip(spark, sf_dir):
+    suffix = F.element_at(F.array(*[F.lit(s) for s, _ in _SUFFIX]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    p = R.read(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", suffix).alias("raw"))
+    return T.with_name(p, "raw", "n", scripts=False).select("p_partkey", "n.core", "n.legal")
+
+
+@query(f"WITH {R.RECORDS} SELECT entity_id, house, CASE WHEN country = 'India' THEN '' ELSE postal END AS postal, house || ' ' || q1 || ' street ' || q2 || ' ' || postal AS norm FROM rec")
+def address_postal_house(spark, sf_dir):
+    n = normalise(R.records(spark, sf_dir), scripts=False)
+    return n.select("entity_id", F.col("addr_house").alias("house"), F.col("addr_postal").alias("postal"), F.col("address_norm").alias("norm"))
+
+
+@query()
+def normalise_records(spark, sf_dir):
+    return normalise(R.records(spark, sf_dir))
+
+
+# Blocking
+
+for _s in blocking.DEFAULT:
+
+    def _keys(spark, sf_dir, s=_s):
+        return blocking.postings(R.norm(spark, sf_dir), [s]).select("key", "entity_id")
+
+    QUERIES[f"keys_{_s}"] = _keys
+    ORACLE_SQL[f"keys_{_s}"] = f"WITH {R.POSTINGS} SELECT key, entity_id FROM post WHERE strategy = '{_s}'"
+
+
+@query()
+def keys_name_phonetic(spark, sf_dir):
+    return blocking.postings(R.norm(spark, sf_dir), ["name_phonetic"]).select("key", "entity_id")
+
+
+@query(f"WITH {R.POSTINGS} SELECT strategy, key, count(*) AS n FROM post WHERE source > 1 GROUP BY ALL")
+def block_sizes(spark, sf_dir):
+    return blocking.block_sizes(blocking.postings(R.norm(spark, sf_dir).where("source > 1")))
+
+
+@query(f"WITH {R.POSTINGS}, k AS (SELECT strategy, key FROM post GROUP BY ALL HAVING count(*) <= 5) SELECT strategy, key, entity_id FROM post JOIN k USING (strategy, key)")
+def block_cap_drop(spark, sf_dir):
+    return blocking.capped(blocking.postings(R.norm(spark, sf_dir)), 5)
+
+
+@query(f"WITH {R.EVIDENCE} SELECT s1_id, pool_id, evidence FROM ev")
+def candidates_evidence(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return blocking.evidence(blocking.postings(n.where("source = 1")), blocking.postings(n.where("source > 1")))
+
+
+@query(f"WITH {R.EVIDENCE} SELECT a.strategy, sum(a.n * b.n)::BIGINT AS pairs FROM (SELECT strategy, key, count(*) AS n FROM post WHERE source = 1 GROUP BY ALL) a JOIN blocks b USING (strategy, key) GROUP BY a.strategy")
+def query_volume(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return blocking.query_volume(blocking.postings(n.where("source = 1")), blocking.postings(n.where("source > 1")))
+
+
+@query(f"WITH {R.CANDIDATES} SELECT s1_id, pool_id, evidence FROM cand")
+def candidates_topk(spark, sf_dir):
+    return R.candidates(R.norm(spark, sf_dir))
+
+
+@query(f"WITH {R.CANDIDATES} SELECT s1_id AS source1_entity_id, coalesce(string_agg(pool_id, ',' ORDER BY pool_id), '') AS candidate_entity_ids FROM ent LEFT JOIN cand USING (s1_id) GROUP BY s1_id")
+def candidates_tsv(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return sources.id_lists(R.entities(n), R.candidates(n), "candidate_entity_ids")
+
+
+@query(
+    f"WITH {R.CANDIDATES}, c AS (SELECT s1_id, count(pool_id) AS n FROM ent LEFT JOIN cand USING (s1_id) GROUP BY s1_id) SELECT count(*) AS entities, count(*) FILTER (n = 0) AS entities_without_candidates, sum(n)::BIGINT AS pairs_kept, avg(n) AS mean_candidates, max(n) AS max_candidates, count(*) FILTER (n >= 200) AS cap_fired_entities, 1 - sum(n) / (count(*) * (SELECT count(*) FROM pl)) AS reduction_ratio FROM c"
+)
+def blocking_stats(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return blocking.blocking_statistics(R.entities(n), R.candidates(n), R.pool(n).count())
+
+
+# Context and features
+
+
+@query(f"WITH {R.CANDIDATES}, d AS (SELECT pool_id, count(*) AS degree FROM cand GROUP BY 1), k AS (SELECT s1_id, count(*) AS candidates FROM cand GROUP BY 1), f AS (SELECT name_norm, count(*) AS frequency FROM pl GROUP BY 1) SELECT s1_id, pool_id, evidence, degree, candidates, frequency FROM cand JOIN d USING (pool_id) JOIN k USING (s1_id) JOIN pl USING (pool_id) JOIN f USING (name_norm)")
+def ctx_counts(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return features.with_context(R.candidates(n), n)
+
+
+_G = "list_distinct(list_transform(range(1, greatest(length(' ' || {0} || ' ') - 1, 2)), lambda i: substring(' ' || {0} || ' ', i, 3)))"
+
+
+@query(f"WITH {R.CANDIDATES}, s AS (SELECT c.s1_id, c.pool_id, {R._SET.format('e.name_norm')} AS a, {R._SET.format('p.name_norm')} AS b, {_G.format('e.name_norm')} AS x, {_G.format('p.name_norm')} AS y, e.name_norm <> '' AND p.name_norm <> '' AS ok FROM cand c JOIN ent e ON c.s1_id = e.s1_id JOIN pl p ON c.pool_id = p.pool_id) SELECT s1_id, pool_id, CASE WHEN ok THEN {R.JACCARD.format(a='a', b='b')} ELSE 0.0 END AS name_token_jaccard, CASE WHEN ok THEN {R.JACCARD.format(a='x', b='y')} ELSE 0.0 END AS name_char_jaccard FROM s")
+def feat_jaccard(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return features.features(R.candidates(n), n, ["us"]).select("s1_id", "pool_id", "name_token_jaccard", "name_char_jaccard")
+
+
+@query()
+def pair_features(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return features.features(R.candidates(n), n, ["us", "france"])
+
+
+def _part_pairs(spark, sf_dir):
+    p = R.read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey")
+
+
+@query("SELECT a.p_partkey, round(jaro_winkler_similarity(a.p_name, b.p_name), 9) AS jaro_winkler FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def feat_jaro_winkler(spark, sf_dir):
+    from ..session import ship
+
+    ship(spark)
+    return _part_pairs(spark, sf_dir).select("p_partkey", F.round(S.measured(F.col("p_name"), F.col("other"), "jaro_winkler")["jaro_winkler"], 9).alias("jaro_winkler"))
+
+
+@query()
+def feat_string_metrics(spark, sf_dir):
+    from ..session import ship
+
+    ship(spark)
+    return _part_pairs(spark, sf_dir).select("p_partkey", S.measured(F.col("p_name"), F.col("other"), "indel", "token_sort", "token_set", "partial").alias("m")).select("p_partkey", "m.*")
+
+
+@query()
+def feat_soundex(spark, sf_dir):
+    return R.read(spark, sf_dir, "part").select("p_partkey", F.array_join(S.soundexes(F.split(F.lower("p_name"), " ")), " ").alias("codes"))
+
+
+# Labels, samples, matching, metrics
+
+
+@query(f"WITH {R.CANDIDATES} SELECT c.s1_id, c.pool_id, c.evidence, CAST(t.s1_id IS NOT NULL AS INTEGER) AS label FROM cand c LEFT JOIN truth t ON c.s1_id = t.s1_id AND c.pool_id = t.pool_id")
+def labels(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return matching.label(R.candidates(n), R.truth(n))
+
+
+@query(f"WITH {R.CANDIDATES}, p AS (SELECT s1_id, count(*) AS n, count(c.pool_id) AS h FROM truth t LEFT JOIN cand c USING (s1_id, pool_id) GROUP BY s1_id) SELECT sum(h) / sum(n) AS pair_recall, avg(CAST(h = n AS DOUBLE)) AS entity_full_recall FROM p")
+def recall_ceiling(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return matching.recall(R.truth(n), R.candidates(n))
+
+
+@query(f"WITH {R.CANDIDATES}, n AS (SELECT country_norm, count(*) AS n FROM ent GROUP BY 1), r AS (SELECT s1_id, country_norm, row_number() OVER (PARTITION BY country_norm ORDER BY md5('7:' || s1_id), s1_id) AS r FROM ent) SELECT s1_id, country_norm, CASE WHEN r <= round_even(n * 0.15, 0) THEN 'validation' ELSE 'train' END AS side FROM r JOIN n USING (country_norm)")
+def split_stratified(spark, sf_dir):
+    return matching.split(R.entities(R.norm(spark, sf_dir)).select("s1_id", "country_norm"), 0.15, 7)
+
+
+@query()
+def subsample_quota(spark, sf_dir):
+    return matching.subsample(R.entities(R.norm(spark, sf_dir)).select("s1_id", "country_norm"), 50, 7)
+
+
+@query(f"WITH {R.CANDIDATES} SELECT s1_id, ('0x' || substr(md5('3:' || s1_id), 1, 8))::BIGINT % 100 < 5 AS early_stop FROM ent")
+def early_stop_mask(spark, sf_dir):
+    return matching.early_stop(R.entities(R.norm(spark, sf_dir)).select("s1_id"), 5, 3)
+
+
+@query(f"WITH {R.CANDIDATES}, l AS (SELECT c.s1_id, c.pool_id, CAST(t.s1_id IS NOT NULL AS INTEGER) AS label FROM cand c LEFT JOIN truth t ON c.s1_id = t.s1_id AND c.pool_id = t.pool_id) SELECT s1_id, pool_id, label FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY md5('1:' || s1_id || '/' || pool_id), pool_id) AS r FROM l) WHERE label = 1 OR r <= 3")
+def neg_sampling(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return matching.sample_negatives(matching.label(R.candidates(n).drop("evidence"), R.truth(n)), 3, 1)
+
+
+@query(f"WITH {R.CLAIMS} SELECT s1_id, pool_id, score FROM claims")
+def rule_score(spark, sf_dir):
+    return R.claims(R.norm(spark, sf_dir))
+
+
+@query(f"WITH {R.OWNED} SELECT s1_id, pool_id, score FROM owned")
+def resolve_competition(spark, sf_dir):
+    return _owned(R.norm(spark, sf_dir))
+
+
+@query(f"WITH {R.OWNED} SELECT s1_id AS source1_entity_id, coalesce(string_agg(pool_id, ',' ORDER BY pool_id), '') AS matched_entity_ids FROM ent LEFT JOIN owned USING (s1_id) GROUP BY s1_id")
+def matching_results(spark, sf_dir):
+    return _lists(R.norm(spark, sf_dir))
+
+
+@query(f"WITH {R.SCORES} SELECT s1_id, n_true, n_pred, n_hit, round(f05, 9) AS f05 FROM scores")
+def per_entity_f05(spark, sf_dir):
+    return _scores(R.norm(spark, sf_dir)).withColumn("f05", F.round("f05", 9))
+
+
+@query(f"WITH {R.SCORES} SELECT round(avg(f05), 9) AS macro_f05, round(sum(n_hit) / sum(n_pred), 9) AS precision, round(sum(n_hit) / sum(n_true), 9) AS recall, round(avg(CASE WHEN n_true = 0 THEN CAST(n_pred = 0 AS DOUBLE) END), 9) AS singleton_accuracy, count(*) FILTER (n_pred = 0) AS empty_predictions FROM scores")
+def macro_f05(spark, sf_dir):
+    r = lambda c: F.round(c, 9).alias(c)
+    return matching.summary(_scores(R.norm(spark, sf_dir))).select(r("macro_f05"), r("precision"), r("recall"), r("singleton_accuracy"), "empty_predictions")
+
+
+_SWEEP = f"""WITH {R.CLAIMS}, grid AS (SELECT unnest({GRID}::DOUBLE[]) AS threshold),
+own AS (SELECT s1_id, pool_id, score FROM (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY score DESC, s1_id) AS r FROM claims) WHERE r = 1),
+nt AS (SELECT e.s1_id, count(t.pool_id) AS n_true FROM ent e LEFT JOIN truth t USING (s1_id) GROUP BY 1),
+h AS (SELECT o.s1_id, o.score, t.pool_id IS NOT NULL AS hit FROM own o LEFT JOIN truth t USING (s1_id, pool_id)),
+c AS (SELECT threshold, n.s1_id, any_value(n_true) AS n_true, count(h.s1_id) AS n_pred, count(*) FILTER (h.hit) AS n_hit FROM grid CROSS JOIN nt n LEFT JOIN h ON h.s1_id = n.s1_id AND h.score >= threshold GROUP BY threshold, n.s1_id)
+SELECT threshold, round(avg({R.F05}), 9) AS macro_f05 FROM c GROUP BY threshold"""
+
+
+@query(_SWEEP)
+def threshold_sweep_resolved(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return matching.threshold_sweep(R.claims(n), R.truth(n), R.entities(n), GRID).withColumn("macro_f05", F.round("macro_f05", 9))
+
+
+@query(f"WITH {R.OWNED}, w AS (SELECT o.s1_id, string_agg(CASE WHEN t.pool_id IS NULL THEN o.pool_id END, ',' ORDER BY o.pool_id) AS wrong, count(*) FILTER (t.pool_id IS NULL) / count(*) AS share FROM owned o LEFT JOIN truth t USING (s1_id, pool_id) GROUP BY 1) SELECT s1_id, wrong, share FROM w WHERE share > 0 ORDER BY share DESC, s1_id LIMIT 20")
+def error_false_merges(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return matching.errors(R.truth(n), _owned(n), "false_merges")
+
+
+@query(f"WITH {R.OWNED}, w AS (SELECT t.s1_id, string_agg(CASE WHEN o.pool_id IS NULL THEN t.pool_id END, ',' ORDER BY t.pool_id) AS wrong, count(*) FILTER (o.pool_id IS NULL) / count(*) AS share FROM truth t LEFT JOIN owned o USING (s1_id, pool_id) GROUP BY 1) SELECT s1_id, wrong, share FROM w WHERE share > 0 ORDER BY share DESC, s1_id LIMIT 20")
+def error_missed(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return matching.errors(R.truth(n), _owned(n), "missed")
+
+
+@query("SELECT * FROM (VALUES ('duplicate_rows', 0), ('duplicate_ids', 0), ('self_matches', 0), ('bad_prefix', 0), ('unknown_ids', 0), ('missing_entities', 0), ('extra_entities', 0)) v(\"check\", n)")
+def validate_violations(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    return matching.violations(_lists(n), R.entities(n), R.pool(n)).select("check", F.col("n").cast("int").alias("n"))
+
+
+@query()
+def gbt_scores(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    rows = matching.label(features.features(R.candidates(n), n, ["us", "france"]), R.truth(n))
+    return model.predict(model.train(rows, rounds=5, depth=4), rows)
+
+
+# Profiles
+
+
+@query(f"WITH {R.RECORDS} SELECT country, count(*) AS n, count(*) FILTER (business_name = '') AS no_name, count(*) FILTER (business_address = '') AS no_address, avg(length(business_name)) AS mean_name_length FROM rec GROUP BY 1")
+def eda_profile(spark, sf_dir):
+    return profile.by_country(R.records(spark, sf_dir))
+
+
+@query(f"WITH {R.CANDIDATES}, k AS (SELECT e.s1_id, count(t.pool_id) AS size FROM ent e LEFT JOIN truth t USING (s1_id) GROUP BY 1) SELECT CAST(size AS INTEGER) AS size, count(*) AS entities FROM k GROUP BY 1")
+def eda_list_sizes(spark, sf_dir):
+    n = R.norm(spark, sf_dir)
+    lists = R.entities(n).select("s1_id").join(R.truth(n).groupBy("s1_id").agg(F.collect_set("pool_id").alias("m")), "s1_id", "left")
+    return profile.list_sizes(lists.select("s1_id", F.coalesce("m", F.array().cast("array<string>")).alias("matches")))
+
+
+@query(f"WITH {R.NORM}, t AS (SELECT DISTINCT entity_id, unnest(list_filter(string_split(name_norm, ' '), lambda t: t <> '')) AS token FROM norm) SELECT token, count(*) AS records FROM t GROUP BY 1")
+def eda_token_df(spark, sf_dir):
+    return profile.token_frequency(R.norm(spark, sf_dir))
+
+
+@query(f"WITH {R.RECORDS} SELECT " + ", ".join(f"quantile_cont(length({c}), {p}) AS {n}_p{s}" for c, n in (("business_name", "name"), ("business_address", "address")) for p, s in ((0.5, "50"), (0.9, "90"), (0.99, "99"), (0.999, "99_9"))) + " FROM rec")
+def eda_len_quantiles(spark, sf_dir):
+    return profile.length_quantiles(R.records(spark, sf_dir))
+
+
+@query(f"WITH {R.NORM} SELECT name_norm, count(*) AS records FROM norm WHERE name_norm <> '' GROUP BY 1 HAVING count(*) > 1")
+def eda_dup_names(spark, sf_dir):
+    return profile.duplicate_names(R.norm(spark, sf_dir))
+
+
+@query(f"WITH {R.CANDIDATES} SELECT pool_id, count(*) AS owners FROM truth GROUP BY 1 HAVING count(*) > 1")
+def eda_contention(spark, sf_dir):
+    return profile.contention(R.truth(R.norm(spark, sf_dir)))
