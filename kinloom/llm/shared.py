@@ -53,7 +53,6 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = "file://" + os.path.join(tempfile.gettempdir(), "kinloom-shared")
-        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
