@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 ROUNDS = 6
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-PHONE = r"(?<![0-9A-Za-z+])\+(?:1[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}|[2-9][0-9]{0,2}(?:[ -][0-9]{2,4}){2,5}|[2-9][0-9]{7,13})(?![0-9])"
+PHONE = r"(?<![0-9A-Za-z+])\+(?:1[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}|[2-9][0-9]{0,2}[ -]\(?[0-9]{2,5}\)?(?:[ -][0-9]{2,8}){1,3}|[2-9][0-9]{7,13})(?![0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"

@@ -8,7 +8,7 @@ places units, largest first, where the dot product of their vector with the
 residual capacity is highest.
 
 Defined results: a null text has 0 bytes (size 1) and the crc of no bytes;
-all null and empty texts of one kind form one group. Repeated rows are rows
+null and empty texts form one group. Repeated rows are rows
 like others. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -30,7 +30,7 @@ def measure(docs: DataFrame) -> DataFrame:
         (F.octet_length(t) + 1).cast("long").alias("size"),
         F.crc32(t).cast("long").alias("text_crc32"),
         F.size(word_array(t)).cast("long").alias("tokens"),
-        F.xxhash64("text").alias("g"),
+        F.xxhash64(t).alias("g"),
     )
 
 
