@@ -302,7 +302,14 @@ def test_sharding(spark, docs):
         where[r.text_crc32, r["size"]].add(r.shard)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert all(len(w) == 1 for (c, _), w in where.items() if c not in (zlib.crc32(b"hot text"), zlib.crc32(LONG.encode())))
-    assert max(map(len, slots.values())) < 1.35 * min(map(len, slots.values()))
+    # One text is larger than a shard's share: its shard takes little else, the others are alike.
+    alone = next(r.shard for r in got if r.text_crc32 == zlib.crc32(LONG.encode()))
+    weight = Counter()
+    for r in got:
+        weight[r.shard] += r["size"]
+    others = [k for k in slots if k != alone]
+    assert len(others) == 3 and max(weight[k] for k in others) < 1.1 * min(weight[k] for k in others)
+    assert max(len(slots[k]) for k in others) < 1.1 * min(len(slots[k]) for k in others)
     assert S.shard(empty(spark, docs)).count() == 0
 
 
