@@ -100,8 +100,13 @@ def _dictionary(texts: list[str]) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
     """Trains on at most `sample` labelled rows a class: even ones for dictionaries, odd ones for the curve."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("good"))
-    rows = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").select("text", "good", F.xxhash64("doc_id").alias("h"))
-    taken = {k: rows.where(F.col("good") == k).orderBy("h", "text").limit(sample).select("text", "h").collect() for k in (1, 0)}
+    # Ids alone decide who is taken; texts are fetched for those few rows, which are at most 2 * sample.
+    rows = known.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "good", F.xxhash64("doc_id").alias("h"))
+    chosen = [r for k in (1, 0) for r in rows.where(F.col("good") == k).orderBy("h", "doc_id").limit(sample).collect()]
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["good"], r["h"]) for r in chosen], rows.schema)
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    found = sorted(texts.select("h", "doc_id", "good", "text").collect())
+    taken = {k: [r for r in found if r["good"] == k] for k in (1, 0)}
     model = Model(*(_dictionary([r["text"] for i, r in enumerate(taken[k]) if i % 2 == 0]) for k in (1, 0)))
     rest = [(r["text"], k) for k in (1, 0) for i, r in enumerate(taken[k]) if i % 2]
     model.fit_curve([t for t, _ in rest], np.array([k for _, k in rest]))
