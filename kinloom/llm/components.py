@@ -27,14 +27,18 @@ def small_star(edges: DataFrame) -> DataFrame:
     return linked.where("u != v").distinct()
 
 
+def _mark(edges: DataFrame):
+    """Number of edges and a sum of their hashes: stars are reached when a step changes neither."""
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component) of every node with an edge; component is its least node. `edges` has longs u, v."""
     now = settle(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    seen = _mark(now)
     for _ in range(most):
         now = settle(small_star(large_star(now)), "stars")
-        # Stars are reached when no step changes the edges: compare their number and a sum of hashes.
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        mark = _mark(now)
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = mark

@@ -199,7 +199,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2) -
     if not sketch.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         texts = texts.join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    links, found, mixed = None, None, buckets.select("key", "doc", F.col("doc").alias("component"))
+    found, mixed = None, buckets.select("key", "doc", F.col("doc").alias("component"))
     for turn in range(rounds + 1):
         if turn < rounds:
             centre = mixed.groupBy("key").agg(F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("centre"), F.min_by("component", F.xxhash64("doc", F.lit(turn))).alias("home"))
@@ -207,11 +207,16 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, rounds: int = 2) -
         else:
             pairs = open_pairs(mixed, reps)
         new = settle(verified(pairs, texts, size, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        found = settle(components(links), "components")
-        named = buckets.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-        several = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
+        # What is found stands for all earlier links; only new ones are added to it.
+        if found is None:
+            found = settle(components(new), "components")
+        elif not new.isEmpty():
+            stars = found.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            found = settle(components(stars.unionByName(new)), "components")
         if turn < rounds:
+            # A bucket of one component stays so: only the open ones of the last round are named again.
+            named = mixed.select("key", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+            several = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
             mixed = settle(named.join(several, "key"), "mixed")
             if mixed.isEmpty():
                 break
