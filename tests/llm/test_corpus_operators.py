@@ -125,6 +125,19 @@ def test_ppm(spark, docs):
     assert M.score(empty(spark, docs)).count() == 0
 
 
+def test_ppm_scores_do_not_depend_on_what_is_broadcast(spark):
+    from kinloom.llm import ppm as M
+
+    rows = [(k, prose(k, 60, 40 + k) + f" once{k}x seen only here {'é' * (k % 3)}") for k in range(80)] + [(80, None), (81, ""), (None, "caf\u00e9 zq!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    trie = M.Trie(*_entries([t for i, t in rows if not held(i)]))
+    want = {i: trie.log10(M._coded([M.stream(M.words(t))])).sum() for i, t in rows}
+    for most in (0, 30, 1_500_000):
+        got = {r.doc_id: r.score for r in M.score(docs, max_entries=most).collect()}
+        assert got == pytest.approx(want), most
+
+
 def _entries(texts):
     from kinloom.llm import ppm as M
 
