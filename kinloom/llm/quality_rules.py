@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from .shared import WORD_RE, settle, text_or_empty, word_array
 
 FEATURES = ("symbols", "dup_lines", "repeats", "upper", "distinct", "marks")
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Cut points come from these quantiles of the rows labelled good and bad.
+#: Cut points come from these quantiles of the rows labelled good and bad, and from the bad rows beyond the good ones.
 GOOD_QUANTILES, BAD_QUANTILES = (0.005, 0.995), (0.25, 0.5, 0.75)
 P = "__qr_"
 
@@ -92,6 +93,30 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return held.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(P + "s")[k].alias(P + k) for k in names])
 
 
+def cut_points(rows: DataFrame) -> dict[str, list[float]]:
+    """At most 12 cuts a feature: the good range and its quantiles, bad quantiles, and where bad rows lie beyond both.
+
+    A bad kind out of the good range gets a cut there, however few of the bad rows it has.
+    """
+    of = lambda f, good: F.when(F.col(P + "good") == good, F.col(P + f))
+    quantiles = lambda c, q: F.percentile_approx(c, F.array(*map(F.lit, q)), 1000)
+    inner = rows.agg(*[F.struct(quantiles(of(f, 1), GOOD_QUANTILES).alias("good"), F.min(of(f, 1)).alias("least"), F.max(of(f, 1)).alias("most"), quantiles(of(f, 0), BAD_QUANTILES).alias("bad")).alias(f) for f in FEATURES]).first()
+    outer = []
+    for f in FEATURES:
+        low, high = (F.lit(x).cast("double") for x in inner[f]["good"] or (None, None))
+        least, most = (F.lit(inner[f][k]).cast("double") for k in ("least", "most"))
+        under, over = (lambda x: F.when(of(f, 0) < x, of(f, 0))), (lambda x: F.when(of(f, 0) > x, of(f, 0)))
+        outer.append(F.array(F.max(under(low)), F.percentile_approx(under(low), 0.5, 1000), F.max(under(least)), F.min(over(high)), F.percentile_approx(over(high), 0.5, 1000), F.min(over(most))).alias(f))
+    beyond = rows.agg(*outer).first()
+    cuts = {}
+    for f in FEATURES:
+        x = inner[f]
+        # Between the classes rather than on either: a cut on a good row's value would reject it.
+        ends = sorted({v for v in (*(x["good"] or []), x["least"], x["most"], *(x["bad"] or []), *beyond[f]) if v is not None})
+        cuts[f] = [(a + b) / 2 for a, b in zip(ends, ends[1:])]
+    return cuts
+
+
 def contingency(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, dict[str, list[float]]]:
     """Good and bad labelled rows per cell of binned features, by grow and prune side; and the cuts.
 
@@ -101,70 +126,63 @@ def contingency(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> t
     stats = with_stats(docs.select(F.col(id_col).alias(P + "id"), "text"))
     rows = stats.join(known, P + "id").where(~F.col(P + "base_failed")).select(P + "id", P + "good", *[P + f for f in FEATURES])
     rows = settle(rows, "rules")
-    side = [F.percentile_approx(F.when(F.col(P + "good") == v, F.col(P + f)), F.array(*map(F.lit, q)), 1000).alias(f"{f}_{v}") for f in FEATURES for v, q in ((1, GOOD_QUANTILES), (0, BAD_QUANTILES))]
-    found = rows.agg(*side).first().asDict()
-    cuts = {}
-    for f in FEATURES:
-        good, bad = found[f"{f}_1"] or [], found[f"{f}_0"] or []
-        # Between the classes rather than on either: a cut on a good row's value would reject it.
-        ends = sorted({*good, *bad})
-        cuts[f] = [(a + b) / 2 for a, b in zip(ends, ends[1:])]
-    bins = [sum((F.when(F.col(P + f) >= F.lit(c), 1).otherwise(0) for c in cuts[f]), F.lit(0)).alias(f) for f in FEATURES]
+    cuts = cut_points(rows)
+    bins = [sum((F.when(F.col(P + f) >= F.lit(c), 1).otherwise(0) for c in cuts[f]), F.lit(0)).cast("tinyint").alias(f) for f in FEATURES]
     grow = F.pmod(F.crc32(F.col(P + "id").cast("string")), F.lit(3)) > 0
     one = lambda good, g: F.sum(F.when((F.col(P + "good") == good) & (grow if g else ~grow), 1).otherwise(0))
     cells = rows.select("*", *bins).groupBy(*FEATURES).agg(one(0, True).alias("gb"), one(1, True).alias("gg"), one(0, False).alias("pb"), one(1, False).alias("pg"))
     return cells, cuts
 
 
-def learn(cells: list, cuts: dict[str, list[float]], min_precision: float = 0.98, max_rules: int = 24, max_conditions: int = 4) -> list[Rule]:
-    """Sequential covering (grow, then prune) over the table of cells."""
-    if not cells:
+def learn(cells: pa.Table, cuts: dict[str, list[float]], min_precision: float = 0.98, max_rules: int = 24, max_conditions: int = 4) -> list[Rule]:
+    """Sequential covering (grow, then prune) over the table of cells.
+
+    Where no prefix of a grown rule is pure enough, no further rule begins with its first condition.
+    """
+    if not cells.num_rows:
         return []
-    binned = np.array([[r[f] for f in FEATURES] for r in cells])
-    gb, gg, pb, pg = (np.array([r[k] for r in cells], float) for k in ("gb", "gg", "pb", "pg"))
-    options = [(Condition(f, above, c), (binned[:, j] > k) == above) for j, f in enumerate(FEATURES) for k, c in enumerate(cuts[f]) for above in (True, False)]
-    left, rules = np.ones(len(binned), bool), []
+    binned = [cells.column(f).to_numpy() for f in FEATURES]
+    gb, gg, pb, pg = (cells.column(k).to_numpy().astype(float) for k in ("gb", "gg", "pb", "pg"))
+    left, rules, barred = np.ones(len(gb), bool), [], set()
     while len(rules) < max_rules and gb[left].sum() > 0:
-        held, rule = left.copy(), []
+        held, rule, masks = left.copy(), [], []
         while len(rule) < max_conditions and gg[held].sum() > 0:
             p0, n0 = gb[held].sum(), gg[held].sum()
-            best = (0.0, None, None)
-            for cond, mask in options:
-                m = held & mask
-                p, n = gb[m].sum(), gg[m].sum()
-                if p > 0 and (gain := p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))) > best[0] + 1e-12:
-                    best = (gain, cond, m)
+            best = (0.0, None)
+            for j, f in enumerate(FEATURES):
+                below = [np.cumsum(np.bincount(binned[j][held], w[held], len(cuts[f]) + 1)) for w in (gb, gg)]
+                for k in range(len(cuts[f])):
+                    for above in (True, False):
+                        p, n = (p0 - below[0][k], n0 - below[1][k]) if above else (below[0][k], below[1][k])
+                        if p > 0 and (rule or (j, k, above) not in barred) and (gain := p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))) > best[0] + 1e-12:
+                            best = (gain, (j, k, above))
             if best[1] is None:
                 break
+            j, k, above = best[1]
             rule.append(best[1])
-            held = best[2]
-        masks = [dict((c, m) for c, m in options)[c] for c in rule]
+            masks.append((binned[j] > k) == above)
+            held &= masks[-1]
+        if not rule:
+            break
         worth = []
         for k in range(1, len(rule) + 1):
             m = left & np.logical_and.reduce(masks[:k])
             p, n = pb[m].sum(), pg[m].sum()
-            worth.append(((p - n) / (p + n) if p + n else -1.0, -k, k))
+            bad, good = gb[m].sum() + p, gg[m].sum() + n
+            if bad >= 2 and bad >= min_precision * (bad + good):
+                worth.append(((p - n) / (p + n) if p + n else -1.0, -k))
         if not worth:
-            break
-        k = max(worth)[2]
-        m = left & np.logical_and.reduce(masks[:k])
-        bad, good = gb[m].sum() + pb[m].sum(), gg[m].sum() + pg[m].sum()
-        if bad < 2 or bad < min_precision * (bad + good):
-            if k == len(rule):
-                break
-            k = len(rule)  # the unpruned rule may be pure where the pruned one is not
-            m = left & np.logical_and.reduce(masks)
-            bad, good = gb[m].sum() + pb[m].sum(), gg[m].sum() + pg[m].sum()
-            if bad < 2 or bad < min_precision * (bad + good):
-                break
-        rules.append(tuple(rule[:k]))
-        left &= ~m
+            barred.add(rule[0])
+            continue
+        k = -max(worth)[1]
+        rules.append(tuple(Condition(FEATURES[j], above, cuts[FEATURES[j]][c]) for j, c, above in rule[:k]))
+        left &= ~np.logical_and.reduce(masks[:k])
     return rules
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> list[Rule]:
     cells, cuts = contingency(docs, labels)
-    return learn(cells.collect(), cuts, **options)  # at most (cuts + 1) ** features rows, whatever the corpus
+    return learn(cells.toArrow(), cuts, **options)  # at most (cuts + 1) ** features rows, whatever the corpus
 
 
 def verdict(rules: list[Rule]) -> Column:

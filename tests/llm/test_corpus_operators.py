@@ -63,6 +63,23 @@ def test_quality_statistics_and_list(spark, docs):
     assert rules and {r.doc_id for r in Q.judge(ndf, rules).where("kept").collect()} == {i for i, _ in noisy if i >= 300}
 
 
+def test_quality_rules_name_rare_kinds(spark):
+    from kinloom.llm import quality_rules as Q
+
+    def kept(kinds):
+        rows = [(1000 * k + i, text(i), good) for k, (n, good, text) in enumerate(kinds) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+        rules = Q.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+        return Counter(r.doc_id // 1000 for r in Q.judge(df, rules).where("kept").collect())
+
+    plain = lambda i: prose(i, 80)
+    # One in ten of the bad labels has symbols, which are 0 in all others.
+    assert kept([(100, 1, plain), (90, 0, lambda i: prose(i + 500, 80).upper()), (10, 0, lambda i: prose(i + 700, 80).replace(" ", "# "))]) == {0: 100}
+    # Equal texts with both labels are no rule, and do not end the list: the kind after them is named.
+    same = prose(1, 80).replace(" ", "# ")
+    assert kept([(100, 1, plain), (60, 0, lambda i: same), (12, 1, lambda i: same), (8, 0, lambda i: prose(i + 700, 80).replace(" ", "! "))]) == {0: 100, 1: 60, 2: 12}
+
+
 def test_decontamination(spark, docs):
     from kinloom.llm import decontamination as D
 
