@@ -28,8 +28,13 @@ PHONE = r"(?<![0-9A-Za-z+])\+(?:1[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}|[
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-ANY = "|".join((EMAIL, IBAN, PHONE, DATE, SSN, IPV4, CARD))
+START, END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+#: Not before the rest of a date or an address.
+LAST = r"(?![0-9A-Za-z]|[./][0-9])"
+#: Cards as they are printed, and all other digit groups of 13 to 19 digits over single spaces or dashes.
+CARD = (r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}" + LAST, r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})" + END)
+GROUPS = tuple(rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}" + LAST for n in range(19, 12, -1))
+OTHERS = "|".join((IBAN, PHONE, DATE, SSN, IPV4))
 #: Days in 400 Gregorian years, as a product for the two halves of the network.
 CYCLE, CYCLE_A, CYCLE_B = 146097, 189, 773
 P = "__pn_"
@@ -156,17 +161,41 @@ def replaced(m: Column, key: str, slash_order: str = "mdy") -> Column:
         .when(full(SSN), F.when(ssn_fine, ssn_out))
         .when(full(IPV4), F.when(ip_fine, dotted))
         .when(m.rlike("^[A-Z]{2}"), F.when(mod97(m) == 1, iban_out))
-        .otherwise(F.when((luhn_sum(d, True) % 10 == 0) & ~m.rlike("^[0 -]+$"), card_out))
+        .otherwise(F.when(luhn_fine(m), card_out))
     )
 
 
+def luhn_fine(m: Column) -> Column:
+    return (luhn_sum(only_digits(m), True) % 10 == 0) & ~m.rlike("^[0 -]+$")
+
+
+def cards(t: Column, shapes: tuple[str, ...]) -> Column:
+    """What has one of these shapes from any group on, overlapping or not, and is right by Luhn."""
+    every = F.concat(*[F.regexp_extract_all(t, F.lit(f"{START}(?=({x}))"), F.lit(1)) for x in shapes])
+    return F.when(t.rlike("[0-9](?:[ -]?[0-9]){12}"), F.filter(F.array_distinct(every), luhn_fine)).otherwise(F.array().cast("array<string>"))
+
+
+def any_value(printed: Column, grouped: Column) -> Column:
+    """The pattern of all kinds in one text, with the cards found there: other digits are free for what follows.
+
+    Groups that are no printed card give way to a printed card after their first group.
+    """
+    one = F.concat(F.lit("(?:"), F.array_join(printed, "|"), F.lit(")" + END))
+    first = F.when(F.size(printed) > 0, F.concat(F.lit("|" + START), one)).otherwise("")
+    yields = F.when(F.size(printed) > 0, F.concat(F.lit("(?!(?:[0-9]+[ -]){1,9}"), one, F.lit(")"))).otherwise("")
+    last = F.when(F.size(grouped) > 0, F.concat(F.lit("|" + START), yields, F.lit("(?:"), F.array_join(grouped, "|"), F.lit(")" + LAST))).otherwise("")
+    return F.concat(F.lit(EMAIL), first, F.lit("|" + OTHERS), last)
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None, slash_order: str = "mdy") -> DataFrame:
     """The same columns with personal values in `text` permuted; `count` names a column for how many were."""
     t = F.col(f"`{text}`")
-    one = docs.select("*", F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).alias(P + "found"))
+    zero = docs.select("*", cards(t, CARD).alias(P + "printed"), cards(t, GROUPS).alias(P + "grouped"))
+    zero = zero.select("*", any_value(F.col(P + "printed"), F.array_except(P + "grouped", P + "printed")).alias(P + "any"))
+    one = zero.select("*", F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.col(P + "any"), F.lit(0))).alias(P + "found"))
     two = one.select("*", F.when(F.size(P + "found") > 0, F.transform(F.col(P + "found"), lambda m: replaced(m, key, slash_order))).alias(P + "new"))
     some = F.col(P + "new").isNotNull()
-    gaps = F.split(t, ANY, -1)
+    gaps = F.split(t, F.col(P + "any"), -1)
     three = two.select("*", F.when(some, gaps).alias(P + "gaps"))
     found, new, gap = F.col(P + "found"), F.col(P + "new"), F.col(P + "gaps")
     pieces = F.transform(gap, lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.get(found, i), F.lit(""))))

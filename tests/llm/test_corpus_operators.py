@@ -316,6 +316,19 @@ def test_pseudonyms(spark, docs):
     assert P.pseudonymise(docs, "k").columns == docs.columns and P.pseudonymise(empty(spark, docs), "k").count() == 0
 
 
+def test_pseudonyms_of_cards_beside_digits(spark):
+    from kinloom.llm import pseudonyms as P
+
+    card = "4111 1111 1111 1111"
+    texts = ["4111111111111111 190.137.223.204", "4111111111111111 12/31/1999", f"paid 12 {card}", f"{card} 12", f"{card} 1234", f"1234 {card}", f"{card} 2024-01-05", f"{card} {card}", "3782 822463 10005 7", "41111111 11111111"]
+    got = [r.text for r in P.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for t, g in zip(texts, got):
+        for value in (card, "4111111111111111", "3782 822463 10005", "41111111 11111111", "190.137.223.204", "12/31/1999", "2024-01-05"):
+            assert value not in g, (t, g)
+    assert [g.split(" ")[-1] for g in got[3:5]] == ["12", "1234"] and got[2].startswith("paid 12 ") and got[5].startswith("1234 ")
+    assert got[7][:19] == got[7][20:]
+
+
 def test_sharding(spark, docs):
     from kinloom.llm import sharding as S
 
