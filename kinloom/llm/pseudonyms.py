@@ -7,9 +7,10 @@ kind and the value alone, so equal values stay linked across documents, and
 two values of a kind and length never meet. Separators stay where they were.
 
 Kinds: e-mail (letters and digits of the local part), payment card (Luhn stays
-right), phone in international form (country code stays), IPv4, ISO / dotted /
+right), phone in international form (country code stays) or as (555) 123-4567,
+555-123-4567 and 555.123.4567 (first digit stays), IPv4, dashed / dotted /
 slashed date (a valid date of the same 400 years), US social security number,
-IBAN (check digits stay right). What fails its validation is left alone.
+IBAN, unbroken or in groups of four (check digits stay right). What fails its validation is left alone.
 
 Defined results: a null text stays null, an empty one empty, and n_values is 0
 for both. Rows are independent: repeated rows get equal results. Extra columns
@@ -24,8 +25,14 @@ from pyspark.sql import functions as F
 ROUNDS = 6
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-PHONE = r"(?<![0-9A-Za-z+])\+(?:1[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}|[2-9][0-9]{0,2}[ -]\(?[0-9]{2,5}\)?(?:[ -][0-9]{2,8}){1,3}|[2-9][0-9]{7,13})(?![0-9])"
-DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])"
+#: 7 to 15 digits in all, over single spaces, dashes and brackets, or over dots.
+#: In two parts: between them any_value() says what a phone must not go on into.
+PHONE = (
+    r"(?<![0-9A-Za-z+])\+(?:1[ -]?\(?[0-9]{3}\)?[ -]?[0-9]{3}[ -]?[0-9]{4}(?![0-9])|[1-9](?:(?:(?:",
+    r"(?:[ -]?\(|\)[ -]?|[ -]))?[0-9]){6,14}|(?:\.?[0-9]){6,14})(?![0-9]|[./-][0-9]))",
+)
+NATIONAL = r"(?<![0-9A-Za-z+]|[0-9][.-])(?:\([2-9][0-9]{2}\)[ -]?[0-9]{3}[ .-]|[2-9][0-9]{2}-[0-9]{3}-|[2-9][0-9]{2}\.[0-9]{3}\.)[0-9]{4}(?![0-9A-Za-z]|[.-][0-9])"
+DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 START, END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
@@ -34,7 +41,9 @@ LAST = r"(?![0-9A-Za-z]|[./][0-9])"
 #: Cards as they are printed, and all other digit groups of 13 to 19 digits over single spaces or dashes.
 CARD = (r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}" + LAST, r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})" + END)
 GROUPS = tuple(rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}" + LAST for n in range(19, 12, -1))
-OTHERS = "|".join((IBAN, PHONE, DATE, SSN, IPV4))
+#: IBANs in groups of four, the longest first.
+IBAN_GROUPS = tuple(rf"[A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{g}}}{last}" + END for g in range(7, 1, -1) for last in (" [A-Z0-9]{1,3}", ""))
+OTHERS = "|".join((DATE, SSN, IPV4, NATIONAL))
 #: Days in 400 Gregorian years, as a product for the two halves of the network.
 CYCLE, CYCLE_A, CYCLE_B = 146097, 189, 773
 P = "__pn_"
@@ -125,14 +134,20 @@ def date_permuted(key: str, day: Column) -> Column:
 
 
 def slashed(key: str, m: Column, first: str, second: str) -> Column:
-    return F.coalesce(*[F.date_format(date_permuted(key + f, F.try_to_timestamp(m, F.lit(f)).cast("date")), f) for f in (first, second)])
+    return F.coalesce(*[date_out(key, m, f) for f in (first, second)])
+
+
+def date_out(key: str, m: Column, f: str) -> Column:
+    """A date permuted in the format f, without leading zeros where a part has one digit; null where it is none."""
+    day = F.try_to_timestamp(m, F.lit(f.replace("MM", "M").replace("dd", "d"))).cast("date")
+    out = F.date_format(date_permuted(key + f, day), f)
+    return F.when(m.rlike("(^|[./-])[0-9]([./-]|$)"), F.regexp_replace(out, "(^|[./-])0", "$1")).otherwise(out)
 
 
 def replaced(m: Column, key: str, slash_order: str = "mdy") -> Column:
     """The pseudonym of one found value, or null where it is not valid."""
     d = only_digits(m)
     slash = ("MM/dd/yyyy", "dd/MM/yyyy") if slash_order == "mdy" else ("dd/MM/yyyy", "MM/dd/yyyy")
-    plain = lambda f: F.date_format(date_permuted(key, F.try_to_timestamp(m, F.lit(f)).cast("date")), f)
     full = lambda p: m.rlike("^(?:" + p + ")$")
     octets = F.transform(F.split(m, "[.]"), lambda x: x.cast("int"))
     ip = feistel(key, "ip", F.get(octets, 0) * 256 + F.get(octets, 1), F.get(octets, 2) * 256 + F.get(octets, 3), F.lit(65536).cast("long"), F.lit(65536).cast("long"))
@@ -147,20 +162,23 @@ def replaced(m: Column, key: str, slash_order: str = "mdy") -> Column:
     body = digits_permuted(key, "card", F.substr(d, F.lit(1), F.length(d) - 1))
     card_out = refill(m, F.concat(body, F.pmod(F.lit(10) - luhn_sum(body, False) % 10, F.lit(10)).cast("string")))
     # A country code stays: the number after it is permuted.
-    code = F.regexp_extract(m, r"^\+(?:1|[2-9][0-9]{0,2}(?=[ -])|[2-9][0-9]?)", 0)
+    code = F.regexp_extract(m, r"^\+(?:1|[2-9][0-9]{0,2}(?=[ .(-])|[2-9][0-9]?)(?:[ -]?\(0\))?", 0)
     rest = F.substr(m, F.length(code) + 1)
     phone_out = F.concat(code, refill(rest, digits_permuted(key, "phone", only_digits(rest))))
+    national_out = refill(m, F.concat(F.substr(d, F.lit(1), F.lit(1)), digits_permuted(key, "phone", F.substr(d, F.lit(2)))))
     local = F.substring_index(m, "@", 1)
-    bban = letters_permuted(key, "iban", F.substr(m, F.lit(5)))
+    iban = F.regexp_replace(m, " ", "")
+    bban = letters_permuted(key, "iban", F.substr(iban, F.lit(5)))
     iban_check = F.lpad((F.lit(98) - mod97(F.concat(F.substr(m, F.lit(1), F.lit(2)), F.lit("00"), bban))).cast("string"), 2, "0")
-    iban_out = F.concat(F.substr(m, F.lit(1), F.lit(2)), iban_check, bban)
+    iban_out = refill(m, F.concat(F.substr(m, F.lit(1), F.lit(2)), iban_check, bban), "[A-Z0-9]")
     return (
         F.when(m.contains("@"), F.concat(letters_permuted(key, "mail", local), F.substr(m, F.length(local) + 1)))
         .when(m.startswith("+"), phone_out)
-        .when(full(DATE), F.coalesce(plain("yyyy-MM-dd"), plain("dd.MM.yyyy"), slashed(key, m, *slash)))
+        .when(full(DATE), F.coalesce(*[date_out(key, m, f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy")], slashed(key, m, *slash)))
         .when(full(SSN), F.when(ssn_fine, ssn_out))
         .when(full(IPV4), F.when(ip_fine, dotted))
-        .when(m.rlike("^[A-Z]{2}"), F.when(mod97(m) == 1, iban_out))
+        .when(m.rlike("^[A-Z]{2}"), F.when(mod97(iban) == 1, iban_out))
+        .when(full(NATIONAL), national_out)
         .otherwise(F.when(luhn_fine(m), card_out))
     )
 
@@ -175,6 +193,12 @@ def cards(t: Column, shapes: tuple[str, ...]) -> Column:
     return F.when(t.rlike("[0-9](?:[ -]?[0-9]){12}"), F.filter(F.array_distinct(every), luhn_fine)).otherwise(F.array().cast("array<string>"))
 
 
+def grouped_ibans(t: Column) -> Column:
+    every = F.concat(*[F.regexp_extract_all(t, F.lit(f"{START}(?=({x}))"), F.lit(1)) for x in IBAN_GROUPS])
+    fine = lambda m: mod97(F.regexp_replace(m, " ", "")) == 1
+    return F.when(t.rlike(START + "[A-Z]{2}[0-9]{2} [A-Z0-9]{4} "), F.filter(F.array_distinct(every), fine)).otherwise(F.array().cast("array<string>"))
+
+
 def any_value(printed: Column, grouped: Column) -> Column:
     """The pattern of all kinds in one text, with the cards found there: other digits are free for what follows.
 
@@ -184,13 +208,14 @@ def any_value(printed: Column, grouped: Column) -> Column:
     first = F.when(F.size(printed) > 0, F.concat(F.lit("|" + START), one)).otherwise("")
     yields = F.when(F.size(printed) > 0, F.concat(F.lit("(?!(?:[0-9]+[ -]){1,9}"), one, F.lit(")"))).otherwise("")
     last = F.when(F.size(grouped) > 0, F.concat(F.lit("|" + START), yields, F.lit("(?:"), F.array_join(grouped, "|"), F.lit(")" + LAST))).otherwise("")
-    return F.concat(F.lit(EMAIL), first, F.lit("|" + OTHERS), last)
+    stop = F.when(F.size(printed) > 0, F.concat(F.lit("(?![ -]"), one, F.lit(")"))).otherwise("")
+    return F.concat(F.lit(EMAIL), first, F.lit("|" + IBAN + "|" + PHONE[0]), stop, F.lit(PHONE[1] + "|" + OTHERS), last)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None, slash_order: str = "mdy") -> DataFrame:
     """The same columns with personal values in `text` permuted; `count` names a column for how many were."""
     t = F.col(f"`{text}`")
-    zero = docs.select("*", cards(t, CARD).alias(P + "printed"), cards(t, GROUPS).alias(P + "grouped"))
+    zero = docs.select("*", F.concat(grouped_ibans(t), cards(t, CARD)).alias(P + "printed"), cards(t, GROUPS).alias(P + "grouped"))
     zero = zero.select("*", any_value(F.col(P + "printed"), F.array_except(P + "grouped", P + "printed")).alias(P + "any"))
     one = zero.select("*", F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.col(P + "any"), F.lit(0))).alias(P + "found"))
     two = one.select("*", F.when(F.size(P + "found") > 0, F.transform(F.col(P + "found"), lambda m: replaced(m, key, slash_order))).alias(P + "new"))

@@ -329,6 +329,37 @@ def test_pseudonyms_of_cards_beside_digits(spark):
     assert got[7][:19] == got[7][20:]
 
 
+@pytest.fixture(scope="module")
+def common_forms(spark):
+    from kinloom.llm import pseudonyms as P
+
+    texts = {
+        "phone": ["+33 1 23 45 67 89", "+49 (0)30 1234567", "+1.692.555.7565", "+33 12 34 56 78 90", "(555) 123-4567", "555-123-4567"],
+        "iban": ["DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201"],
+        "card": ["+49 30 1234567 4111 1111 1111 1111", "+1 692 555 7565 4111 1111 1111 1111"],
+        "date": ["2024/01/05", "1/5/2024", "2024-1-5", "5.1.2024", "31/1/2024"],
+    }
+    rows = [(k, t, f"on {t} 12 end") for k, t in enumerate(t for ts in texts.values() for t in ts)]
+    got = {r.plain: r.text for r in P.pseudonymise(spark.createDataFrame(rows, "doc_id long, plain string, text string"), "k").collect()}
+    return {k: [(t, got[t]) for t in ts] for k, ts in texts.items()}
+
+
+@pytest.mark.parametrize("kind", ["phone", "iban", "card", "date"])
+def test_pseudonyms_of_common_forms(common_forms, kind):
+    shape = lambda x: re.sub("[0-9]", "9", x)
+    for t, g in common_forms[kind]:
+        assert g.startswith("on ") and g.endswith(" end") and t not in g, (t, g)
+        if kind == "phone":
+            assert shape(g) == shape(f"on {t} 12 end") and t.split(" ")[-1] not in g, (t, g)
+        elif kind == "card":
+            assert "1111 1111" not in g and t[:-20] not in g, (t, g)
+        elif kind == "iban":
+            new = g[3:-7].replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1 and g.endswith(" 12 end") and shape(g) == shape(f"on {t} 12 end"), (t, g)
+        else:
+            assert re.sub("[0-9]+", "9", g) == re.sub("[0-9]+", "9", f"on {t} 12 end") and g.endswith(" 12 end"), (t, g)
+
+
 def test_sharding(spark, docs):
     from kinloom.llm import sharding as S
 
