@@ -241,6 +241,14 @@ def test_near_duplicates(spark, docs):
     assert N.deduplicate(docs).columns == docs.columns
 
 
+def test_near_duplicates_lose_no_more_pairs_by_agreement_than_by_bands():
+    from kinloom.llm import near_duplicates as N
+
+    n = N.BANDS * N.WIDTH
+    below = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n) if k / n < N.OPEN_AGREEMENT)
+    assert below <= (1 - 0.8**N.WIDTH) ** N.BANDS
+
+
 def test_components(spark):
     from kinloom.llm.components import components
 
