@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.session import ship
+
 #: ASCII white space that separates words: space, tab, LF, VT, FF, CR.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
@@ -26,32 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
+#: Arrow batches end at this many rows or bytes, as one text can be very long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to Python workers, once an application; their path need not hold it."""
-    if spark.sparkContext.applicationId in _shipped:
-        return
-    _shipped.add(spark.sparkContext.applicationId)
-    root = Path(__file__).resolve().parents[1]
-    at = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
-    with zipfile.ZipFile(at, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(at)
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Before Python runs: ships the package, and bounds Arrow batches where the session allows larger ones.
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Before Python runs: ships the package, and keeps Arrow batches small, as one text can be very long."""
+    Spark reads both settings when a plan runs, so they stay set; a session's own lower bounds are kept.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name).rstrip("bB")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Only a local session may go without: it gets one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "kinloom-shared")
     return at.rstrip("/")
 
@@ -65,15 +61,34 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Removes the files of frames made by settle(), once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hot_size(rows: int) -> int:
+    """From how many rows on a key is hot: at most 20,000 of `rows` keys can be."""
+    return max(10_000, rows // 20_000)
+
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, hot: int, n: str = "n") -> DataFrame:
+    """rows with the one row that `groups` has a key; column `n` there counts the key's rows.
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a frame made by settle()."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    Keys of `hot` rows or more, a bounded number, are broadcast, so that no task
+    gets all rows of one; the others are shuffled. `rows` is read twice: it
+    should be a written table.
+    """
+    large = groups.where(F.col(n) >= hot)
+    cold = rows.join(F.broadcast(large.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(large), key).unionByName(cold.join(groups.where(F.col(n) < hot), key))
 
 
 def text_or_empty(name: str = "text"):

@@ -241,12 +241,59 @@ def test_near_duplicates(spark, docs):
     assert N.deduplicate(docs).columns == docs.columns
 
 
-def test_near_duplicates_lose_no_more_pairs_by_agreement_than_by_bands():
+def test_near_duplicates_lose_fewer_pairs_by_agreement_than_by_bands():
     from kinloom.llm import near_duplicates as N
 
     n = N.BANDS * N.WIDTH
-    below = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n) if k / n < N.OPEN_AGREEMENT)
-    assert below <= (1 - 0.8**N.WIDTH) ** N.BANDS
+    below = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(n) if k / n < N.AGREEMENT)
+    assert 100 * below <= (1 - 0.8**N.WIDTH) ** N.BANDS
+
+
+def near_components(rows, size):
+    """Brute force: each doc_id's least reachable doc_id over its texts' exact shingle sets."""
+    sets = []
+    for i, t in rows:
+        w = WORD.findall(low(t))
+        if w and i is not None:
+            sets.append((i, {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))}))
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if 4 * max(len(a), len(b)) <= 5 * min(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in parent}
+
+
+@pytest.mark.parametrize("hot", [None, 2])
+def test_near_duplicates_of_families_and_repeated_ids(spark, hot):
+    from kinloom.llm import near_duplicates as N
+
+    rng, rows = random.Random(9), []
+    for family in range(3):
+        base = prose(family, 150, 5000).split()
+        for k in range(60):  # variants at all distances around the limit
+            w = list(base)
+            for at in rng.sample(range(150), rng.randrange(0, 9)):
+                w[at] = f"v{family}x{k}x{at}"
+            rows.append((len(rows), " ".join(w)))
+    shared = prose(50, 90, 5000)
+    rows += [(300 + k, f"{shared} {prose(60 + k, 60, 5000)}") for k in range(40)]  # a passage, but not similar
+    a, b = prose(70, 100), prose(71, 100)
+    rows += [(505, a), (505, b), (507, a + " z"), (509, b + " z"), (505, a), (None, a), (None, None), (510, "")]
+    rows += [(600 + k, a + " z") for k in range(30)]
+    want = near_components(rows, 4)
+    got = N.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, hot=hot).collect()
+    assert len(got) == len(rows) and len(set(want.values())) > 45
+    for r in got:
+        assert r.component_id == (None if r.doc_id is None else want[r.doc_id]), r.doc_id
+        assert r.kept == (r.doc_id is None or r.doc_id == r.component_id)
 
 
 def test_components(spark):
@@ -254,7 +301,11 @@ def test_components(spark):
 
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (102, 101), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {**{k: 0 for k in range(31)}, 100: 100, 101: 100, 102: 100}
+    want = {**{k: 0 for k in range(31)}, 100: 100, 101: 100, 102: 100}
+    assert got == want
+    hubs = components(spark.createDataFrame([*edges, (None, 3), (0, 1)], "u long, v long"), hot=2)  # every node is a hub
+    assert {r.node: r.component for r in hubs.collect()} == want
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 def test_compression_quality(spark):
