@@ -10,11 +10,19 @@ Kinds: e-mail (letters and digits of the local part), payment card (Luhn stays
 right), phone in international form (country code stays) or as (555) 123-4567,
 555-123-4567 and 555.123.4567 (first digit stays), IPv4, dashed / dotted /
 slashed date (a valid date of the same 400 years), US social security number,
-IBAN, unbroken or in groups of four (check digits stay right). What fails its validation is left alone.
+IBAN, unbroken or in groups of four (check digits stay right). What fails its
+validation is left alone, so is a date of the year 0000. IPv6, dates with month
+names or two-digit years, and other national phones are not looked for.
 
-Defined results: a null text stays null, an empty one empty, and n_values is 0
+Dates keep four-digit years: a permuted date beyond 9999 is permuted again
+until it is none (cycle walking), which stays one to one. Slashed dates are
+read in `slash_order`, or else in the other; the latter, days 13 to 31, are
+walked among themselves, so no two slashed dates meet. A one-digit and a padded
+spelling are the same date and get the same one.
+
+Defined results: a null text stays null, an empty one empty, and the count is 0
 for both. Rows are independent: repeated rows get equal results. Extra columns
-pass through. Slashed dates are read in `slash_order`, or else in the other.
+pass through; one named like `count` is replaced. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -46,6 +54,8 @@ IBAN_GROUPS = tuple(rf"[A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{g}}}{last}" + EN
 OTHERS = "|".join((DATE, SSN, IPV4, NATIONAL))
 #: Days in 400 Gregorian years, as a product for the two halves of the network.
 CYCLE, CYCLE_A, CYCLE_B = 146097, 189, 773
+#: Days from 0001-01-01 to 9999-12-31, and how often a date is permuted at most: 0.42 ** 64 of late days would need more.
+LAST_DAY, WALKS = 3652058, 64
 P = "__pn_"
 
 
@@ -125,22 +135,36 @@ def letters_permuted(key: str, kind: str, x: Column) -> Column:
     return F.concat(out["a"], out["b"])
 
 
-def date_permuted(key: str, day: Column) -> Column:
-    """A date of the same 400 years."""
-    n = F.datediff(day, F.lit("0001-01-01").cast("date"))
-    era, rest = F.floor(n / CYCLE).cast("int"), F.pmod(n, F.lit(CYCLE))
-    out = feistel(key, "date", F.floor(rest / CYCLE_B), rest % CYCLE_B, F.lit(CYCLE_A).cast("long"), F.lit(CYCLE_B).cast("long"))
-    return F.date_add(F.lit("0001-01-01").cast("date"), (era * CYCLE + out["a"] * CYCLE_B + out["b"]).cast("int"))
+def date_permuted(key: str, day: Column, late: bool) -> Column:
+    """A date of the same 400 years, of a four-digit year; late: and of a day after the 12th, as `day` is."""
+    base = F.lit("0001-01-01").cast("date")
+
+    def permuted(n: Column) -> Column:
+        rest = F.pmod(n, F.lit(CYCLE))
+        out = feistel(key, "date", F.floor(rest / CYCLE_B), rest % CYCLE_B, F.lit(CYCLE_A).cast("long"), F.lit(CYCLE_B).cast("long"))
+        return (n - rest + out["a"] * CYCLE_B + out["b"]).cast("int")
+
+    def fine(n: Column) -> Column:
+        return (n <= LAST_DAY) & ((F.dayofmonth(F.date_add(base, n)) > 12) if late else F.lit(True))
+
+    def walk(s: Column, _: Column) -> Column:
+        new = F.struct(permuted(s["n"]).alias("n"), F.lit(True).alias("moved"))
+        return F.when(s["moved"] & fine(s["n"]), s).otherwise(new)
+
+    start = F.struct(F.datediff(day, base).alias("n"), F.lit(False).alias("moved"))
+    n = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, walk)["n"]
+    return F.date_add(base, F.when(fine(n), n))
 
 
 def slashed(key: str, m: Column, first: str, second: str) -> Column:
-    return F.coalesce(*[date_out(key, m, f) for f in (first, second)])
+    """In the first order, or else in the second: those have days after the 12th only."""
+    return F.coalesce(date_out(key, m, first), date_out(key, m, second, late=True))
 
 
-def date_out(key: str, m: Column, f: str) -> Column:
+def date_out(key: str, m: Column, f: str, late: bool = False) -> Column:
     """A date permuted in the format f, without leading zeros where a part has one digit; null where it is none."""
     day = F.try_to_timestamp(m, F.lit(f.replace("MM", "M").replace("dd", "d"))).cast("date")
-    out = F.date_format(date_permuted(key + f, day), f)
+    out = F.date_format(date_permuted(key + f, F.when(F.year(day) >= 1, day), late), f)
     return F.when(m.rlike("(^|[./-])[0-9]([./-]|$)"), F.regexp_replace(out, "(^|[./-])0", "$1")).otherwise(out)
 
 
@@ -224,7 +248,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
     three = two.select("*", F.when(some, gaps).alias(P + "gaps"))
     found, new, gap = F.col(P + "found"), F.col(P + "new"), F.col(P + "gaps")
     pieces = F.transform(gap, lambda g, i: F.concat(g, F.coalesce(F.get(new, i), F.get(found, i), F.lit(""))))
-    cols = [F.when(some, F.array_join(pieces, "")).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    kept = [c for c in docs.columns if not count or c.lower() != count.lower()]
+    cols = [F.when(some, F.array_join(pieces, "")).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in kept]
     if count:
         cols.append(F.coalesce(F.size(F.filter(new, lambda x: x.isNotNull())), F.lit(0)).cast("long").alias(count))
     return three.select(*cols)
