@@ -81,6 +81,7 @@ def sum_of_squares(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarr
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, room: int = 2048, group_size: int = 1 << 16) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; `group_size` pieces are packed together."""
     cut = settle(pieces(docs, tokenizer, end_id, room), "pieces")
     groups = max(1, round(cut.count() / group_size))
 
@@ -98,5 +99,6 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0,
         out = table.drop_columns(["group"])
         return out.append_column("sequence_id", pa.array((np.int64(group) << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    # The number of a row in the written table deals out repeated rows as well.
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     return dealt.groupBy("group").applyInArrow(place, PACKED)

@@ -4,7 +4,8 @@ A text is cut where no token can span the cut. Pieces that are plain Latin
 words with trailing marks go straight to the tokenizer's BPE model; every
 other piece goes through the whole tokenizer. A bounded cache keeps each
 piece's ids as little-endian 32-bit bytes, so frequent pieces are encoded once
-a worker. Ids equal those of encoding the whole text at once.
+a worker. Ids equal those of encoding the whole text at once; a text that holds
+the string of a special token is encoded so.
 """
 
 from __future__ import annotations
@@ -38,8 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        # The strings of special tokens are ordinary text inside a document.
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.tokenize = self.model.tokenize
         # Byte-level pieces keep the one space before a word; else white space is dropped and case folded.
@@ -90,6 +90,8 @@ class Encoder:
         out: list[bytes] = []
         if not text:
             return b""
+        if any(s in text for s in self.special):
+            return self._whole(text)
         if not self.keeps_space:
             if "\t" in text or "\r" in text:
                 text = text.replace("\t", " ").replace("\r", " ")
