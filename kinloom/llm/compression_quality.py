@@ -1,17 +1,20 @@
 """Quality classifier by compression with class dictionaries.
 
 Two zstandard dictionaries are trained on texts labelled good and bad. A text
-is compressed whole with either; the difference of the sizes over their sum,
-and over the text's length, say which class it resembles. A logistic curve
-fitted on labelled texts that no dictionary saw turns that into a score.
+is compressed whole with either and with none. The normalised differences of
+these sizes, each the difference over the sum, say which class it resembles; a
+logistic curve over them, fitted on labelled texts that no dictionary saw,
+turns that into a score.
 
 The fit takes at most `sample` labelled rows of each class, chosen by a hash of
 doc_id: a bounded sample whatever the corpus. Every text is scored whole.
 
 Defined results: a null text counts as empty and scores like any text, from
 sizes of frames without content. Labels that are null are not learned from;
-with one class only, every score is that class's share. Rows are scored one by
-one. Extra columns are ignored.
+with one class only, every score is that class's share. A doc_id with both
+labels counts as bad, one with several texts is learned from by the least text.
+Rows are scored one by one. Extra columns of `fit` are ignored, `score` keeps
+them but for `text`, `score` and `predicted`. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -48,13 +51,14 @@ class Model:
         return self._made
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Normalised differences of compressed sizes: good against bad over both, over the text, and against no dictionary."""
+        """Normalised differences of sizes: good against bad, either against no dictionary, and that against the text; squares and products."""
         g, b, plain = self._compressors()
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         sizes = np.array([(len(g.compress(r)), len(b.compress(r)), len(plain.compress(r)), len(r)) for r in raw], float).reshape(-1, 4)
         sg, sb, sp, n = sizes.T
-        x = np.stack([(sb - sg) / (sb + sg), (sb - sg) / (n + 16), (sp - sg) / (sp + sg), np.minimum(sg, sb) / (n + 16)], 1)
-        return np.concatenate([x, x**2, np.log1p(n)[:, None] * x[:, :1]], 1)
+        over = lambda a, b: (a - b) / (a + b)
+        x = np.stack([over(sb, sg), over(sp, sg), over(sp, sb), over(n, sp)], 1)
+        return np.concatenate([x, x**2, x[:, :3] * x[:, 3:]], 1)
 
     def fit_curve(self, texts: list[str], good: np.ndarray) -> None:
         x, y = self.features(texts), good.astype(float)
@@ -104,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
     rows = known.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "good", F.xxhash64("doc_id").alias("h"))
     chosen = [r for k in (1, 0) for r in rows.where(F.col("good") == k).orderBy("h", "doc_id").limit(sample).collect()]
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["good"], r["h"]) for r in chosen], rows.schema)
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "good", "h").agg(F.min("text").alias("text"))
     found = sorted(texts.select("h", "doc_id", "good", "text").collect())
     taken = {k: [r for r in found if r["good"] == k] for k in (1, 0)}
     model = Model(*(_dictionary([r["text"] for i, r in enumerate(taken[k]) if i % 2 == 0]) for k in (1, 0)))
@@ -120,8 +124,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    names = [c for c in docs.columns if c == "text" or c.lower() not in ("score", "predicted")]
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
     kept = [f for f in docs.schema.fields if f.name != "text"]
-    where = docs.columns.index("text")
+    where = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
