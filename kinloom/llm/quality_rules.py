@@ -93,6 +93,10 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return held.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(P + "s")[k].alias(P + k) for k in names])
 
 
+#: Up to so many labelled ids (16 MB as longs) are broadcast. The rows learned from are the same beyond.
+FEW_LABELS = 2_000_000
+
+
 def cut_points(rows: DataFrame) -> dict[str, list[float]]:
     """At most 12 cuts a feature: the good range and its quantiles, bad quantiles, and where bad rows lie beyond both.
 
@@ -123,7 +127,11 @@ def contingency(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> t
     All labelled rows that pass the base rule count: nothing is sampled.
     """
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias(P + "id")).agg(F.min("quality").alias(P + "good"))
-    stats = with_stats(docs.select(F.col(id_col).alias(P + "id"), "text"))
+    every = docs.select(F.col(id_col).alias(P + "id"), "text")
+    if known.count() <= FEW_LABELS:
+        # Only labelled texts are read for statistics; of many labels, ids would cost a shuffle of whole texts.
+        every = every.join(F.broadcast(known.select(P + "id")), P + "id", "left_semi")
+    stats = with_stats(every)
     rows = stats.join(known, P + "id").where(~F.col(P + "base_failed")).select(P + "id", P + "good", *[P + f for f in FEATURES])
     rows = settle(rows, "rules")
     cuts = cut_points(rows)
