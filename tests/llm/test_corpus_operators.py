@@ -319,7 +319,7 @@ def test_encoders_equal_the_library():
 
     from kinloom.llm.tokens import Encoder
 
-    texts = ["a  b\n\n c \t d", " x", "x ", "", "ÀÉ Σας İstanbul ŉ", "it's  I'LL x.\nY z", "a\x1cb \x1c c", "“q” 12 3.5 naïve…", "́ é x"]
+    texts = ["<|endoftext|> hello", "<|startoftext|>", "a<|endoftext|>  B<|startoftext|>\n", "<|ENDOFTEXT|> <|endof text|>", "a  b\n\n c \t d", " x", "x ", "", "ÀÉ Σας İstanbul ŉ", "it's  I'LL x.\nY z", "a\x1cb \x1c c", "“q” 12 3.5 naïve…", "́ é x"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         e, t = Encoder(name, cached=3), Tokenizer.from_file(public_tokenizers.path(name))
         for x in texts * 2:
@@ -439,6 +439,8 @@ def test_compression_quality(spark):
     assert len(got) == 242 and all(0 <= s <= 1 and p == int(s >= 0.3) for s, p in got.values())
     assert sum(got[i][1] == int(i < 500) for i, _ in good + bad if i % 2) > 0.97 * 120
     assert C.score(empty(spark, df), model).count() == 0
+    clash = df.selectExpr("doc_id", "'x' as score", "1 as Predicted", "text", "'y' as kept")
+    assert C.score(clash, model).columns == ["doc_id", "kept", "score", "predicted"]
     C.score(df, C.fit(df, empty(spark, labels))).count()
 
 
@@ -463,7 +465,7 @@ def test_token_files(spark, docs, tmp_path):
         w.add(k // 2, np.arange(k, dtype="<u4").tobytes())
     w.close()
     reader = T.FrameReader(store.open_input_file(p))
-    assert [x.tolist() for x in reader.document(1)] == [[0, 1], [0, 1, 2]] and reader.document(7) == []
+    assert reader.nulls == 0 and [x.tolist() for x in reader.document(1)] == [[0, 1], [0, 1, 2]] and reader.document(7) == []
     raw = bytearray(open(path, "rb").read())
     raw[int(reader.offsets[4]) + 8] ^= 255
     open(path, "wb").write(raw)
@@ -471,6 +473,49 @@ def test_token_files(spark, docs, tmp_path):
         T.FrameReader(store.open_input_file(p)).read(4)
 
 
+def test_token_files_of_null_and_extreme_ids_over_several_files(spark):
+    from kinloom.llm import token_files as T
+
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(i, f"word {k}") for k, i in enumerate([None, low, None, high, 0, 0, 7, low])]
+    got = [tuple(r) for r in T.round_trip(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), most=(1 << 30, 2)).collect()]
+    assert Counter(r[0] for r in got) == Counter(i for i, _ in rows)
+    order = sorted(got, key=lambda r: r[1])
+    assert [r[0] for r in order] == [None, None, low, low, 0, 0, 7, high]
+    assert all(a[1] + a[2] == b[1] for a, b in zip(order, order[1:]))
+
+
+def test_pseudonyms_of_dates(spark):
+    from kinloom.llm import pseudonyms as P
+
+    def mapped(values, **options):
+        rows = spark.createDataFrame([(v,) for v in values], "text string").repartition(4)
+        out = P.pseudonymise(rows.withColumn("plain", F.col("text")), "k", **options).collect()
+        return {r.plain: r.text for r in out}
+
+    from pyspark.sql import functions as F
+
+    assert mapped(["0000-05-05", "05/05/0000", "0001-01-01 x"])["0000-05-05"] == "0000-05-05"
+    last = [f"{y}-{m:02d}-{d:02d}" for y in range(9601, 10000, 7) for m in (1, 6, 12) for d in (1, 15, 28)]
+    got = mapped(last)
+    assert all(re.fullmatch(r"9[6-9][0-9]{2}-[01][0-9]-[0-3][0-9]", g) for g in got.values()) and len(set(got.values())) == len(last)
+    month = [f"{a:02d}/{b:02d}/{y}" for y in (2002, 2008) for a in range(1, 32) for b in range(1, 32) if a <= 12 or b <= 12]
+    for order in ("mdy", "dmy"):
+        got = mapped(month, slash_order=order)
+        real = [v for v in month if got[v] != v]
+        assert len(real) > 950 and len(set(got.values())) == len(month)
+        late = (lambda v: int(v[:2]) > 12) if order == "mdy" else (lambda v: int(v[3:5]) > 12)
+        assert all(late(v) == late(got[v]) for v in real)
+
+
+def test_pseudonyms_replace_a_clashing_count(spark):
+    from kinloom.llm import pseudonyms as P
+
+    df = spark.createDataFrame([(1, "on 2024-01-05", "x"), (2, None, "y")], "doc_id long, text string, N_values string")
+    out = P.pseudonymise(df, "k", count="n_values")
+    assert out.columns == ["doc_id", "text", "n_values"] and [r.n_values for r in out.orderBy("doc_id").collect()] == [1, 0]
+
+
 def test_pseudonyms(spark, docs):
     from kinloom.llm import pseudonyms as P
 
