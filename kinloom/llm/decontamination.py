@@ -6,9 +6,11 @@ benchmark; no other can match a window. Every test suffix (window) is found by
 binary search, which gives all places where it occurs; matches that follow
 each other on one diagonal join to the longest verbatim match.
 
-The test side is dealt into blocks of at most `block_words` words and the
-documents pass all blocks in turn, so what is broadcast at a time has a bound
-and no document row is shuffled.
+The test side is dealt into blocks of about `block_words` words (an item is
+never split, so one block may be as large as the largest item). The documents
+pass all blocks in turn and are written between two of them, so one block is
+broadcast at a time and no document row is shuffled. Places of matches are
+unfolded for so many documents at a time that about `PLACES` are held.
 
 Defined results: a null or empty text has no words and is not contaminated; a
 null or empty benchmark text has no windows; rows of one item_id count as one
@@ -27,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bounded_batches
+from .shared import bounded_batches, drop_table, settle
 
-WINDOW = 13
+WINDOW, PLACES = 13, 2_000_000
 P = "__dc_"
 #: Bytes of words: digits, a-z and all beyond ASCII; A-Z go to lower case, the rest parts words.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -157,7 +159,22 @@ def scan(texts: list[str | None], state: list[dict], suffixes: TestSuffixes) ->
         k = int(doc[part[0]])
         s = state[k]
         s["spans"] = _merge(s["spans"], at[part] - begin[k], at[part] - begin[k] + length[part])
-    # Every place of each window: who owns it, and the diagonals on which matches follow each other.
+    order = np.argsort(doc, kind="stable")
+    window, at, doc, length = window[order], at[order], doc[order], length[order]
+    # Slices of whole documents with about PLACES places each.
+    held = np.cumsum(suffixes.first[window + 1] - suffixes.first[window])
+    ends = np.flatnonzero(np.concatenate((doc[1:] != doc[:-1], [True]))) + 1
+    a = 0
+    while a < len(doc):
+        before = held[a - 1] if a else 0
+        k = int(np.searchsorted(held[ends - 1], before + PLACES, "right"))
+        b = int(max(ends[max(k - 1, 0)], ends[np.searchsorted(ends, a, "right")]))
+        _places(suffixes, state, begin, window[a:b], at[a:b], doc[a:b], length[a:b])
+        a = b
+
+
+def _places(suffixes: TestSuffixes, state: list[dict], begin: np.ndarray, window: np.ndarray, at: np.ndarray, doc: np.ndarray, length: np.ndarray) -> None:
+    """Who owns each window found, and the diagonals on which matches follow each other."""
     first, last = suffixes.first[window], suffixes.first[window + 1]
     n = last - first
     j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
@@ -194,7 +211,15 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
     names = [f.name for f in STATE]
     types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string()]
     where = docs.columns.index(text)
+    test = earlier = None
     for k, items in enumerate(blocks_of(benchmark, block_words)):
+        if test is not None:
+            # What the blocks so far found is written, so that only one is held at a time.
+            out = settle(out, "decontamination")
+            test.unpersist()
+            if earlier is not None:
+                drop_table(earlier)
+            earlier = out
         test = spark.sparkContext.broadcast(TestSuffixes(items, window))
 
         def search(batches: Iterator[pa.RecordBatch], test=test, later=bool(k)) -> Iterator[pa.RecordBatch]:
@@ -224,6 +249,7 @@ def contaminated():
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """One row a row of `docs`: what the contract names, then the longest verbatim match: words, first word in the text, item."""
     found = annotate(docs.select("doc_id", "text"), benchmark, **options)
     return found.select(
         "doc_id",
@@ -232,6 +258,9 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         F.size(P + "items").cast("long").alias("n_items"),
         F.sha2(F.array_join(P + "items", ","), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
+        F.col(P + "longest").alias("longest"),
+        F.col(P + "longest_at").alias("longest_at"),
+        F.col(P + "longest_item").alias("longest_item"),
     )
 
 

@@ -95,8 +95,35 @@ def test_decontamination(spark, docs):
         n = min(13, len(w))
         for o in range(len(w) - n + 1 if w and i is not None else 0):
             windows[tuple(w[o : o + n])].add(str(i))
-    for block_words in (2_000_000, 8):  # one block, and several
-        got = {r.doc_id: tuple(r)[1:] for r in D.report(docs, bench, block_words=block_words).collect()}
+    texts = {str(i): [] for i, _ in items}
+    for i, x in items:
+        if i is not None:
+            texts[str(i)].append(find(low(x)))
+
+    def longest(w):
+        """The most words in a row that a text shares with an item, in whole windows."""
+        best = 0
+        for own in (t for ts in texts.values() for t in ts if t):
+            n = min(13, len(own))
+            for a in range(len(w)):
+                for b in range(len(own)):
+                    k = 0
+                    while a + k < len(w) and b + k < len(own) and w[a + k] == own[b + k]:
+                        k += 1
+                    best = max(best, k if k >= n else 0)
+        return best
+
+    for block_words, places in ((2_000_000, D.PLACES), (8, 3)):  # one block, and several with few places at a time
+        D.PLACES = places
+        found = {r.doc_id: r for r in D.report(docs, bench, block_words=block_words).collect()}
+        got = {i: tuple(r)[1:6] for i, r in found.items()}
+        for i, x in fixture_rows():
+            w = find(low(x))
+            if i != 23:
+                assert (found[i].longest, found[i].longest_at is None) == (longest(w), longest(w) == 0), i
+            if found[i].longest:
+                run = w[found[i].longest_at :][: found[i].longest]
+                assert any(own[k : k + len(run)] == run for own in texts[found[i].longest_item] for k in range(len(own))), i
         for i, x in fixture_rows():
             w = find(low(x))
             hit, found = set(), set()
