@@ -3,10 +3,11 @@
 A text is read as its words, each followed by a space, and one end symbol. The
 trie holds contexts of up to ORDER bytes with the counts of the next byte over
 all training texts. A byte's probability starts at the longest context in the
-trie; a byte not seen there costs an escape (estimated by the number of
-distinct bytes seen, method C) and is looked for one byte shorter, where all
-bytes seen in the longer context are excluded; at the end all bytes left are
-alike. The code length of a text is the sum over its bytes.
+trie; a byte not seen there costs an escape and is looked for one byte shorter,
+where all bytes seen in the longer context are excluded; at the end all bytes
+left are alike. The escape is estimated by the number of distinct bytes seen
+there: each gives DISCOUNT of its count to it (method D has a half). The code
+length of a text is the sum over its bytes.
 
 Counts are gathered over all training texts by partial sums a task and one
 shuffle, and all entries of the trie stay, as a written table. Costs of the
@@ -19,7 +20,7 @@ either: its `head` most frequent tokens are broadcast, all others are joined.
 Defined results: a null or empty text has the end token alone. A null doc_id
 counts as remainder 0, so it is held out. Repeated rows are trained on and
 scored as rows. With no training text all bytes are alike and base counts are
-0. Extra columns are ignored.
+0. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .shared import LOWER_BYTES, bounded_batches, settle
 
-ORDER = 5
+ORDER, DISCOUNT = 5, 0.25
 END = "\n"  # can be in no word
 CHUNK = 1 << 20
 SPLIT = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -216,7 +217,7 @@ class Trie:
             self.out_n.append(out)
         code, c = self.code[ORDER], self.count[ORDER]
         ctx = np.searchsorted(self.context[ORDER], code >> np.uint64(8))
-        self.longest = Costs(code, np.log10(c / (self.n[ORDER][ctx] + self.d[ORDER][ctx])) if len(code) else np.zeros(0))
+        self.longest = Costs(code, np.log10((c - DISCOUNT) / self.n[ORDER][ctx]) if len(code) else np.zeros(0))
 
     def log10(self, code: np.ndarray) -> np.ndarray:
         """Log probability of each coded byte in its context."""
@@ -240,10 +241,10 @@ class Trie:
             e = np.minimum(np.searchsorted(self.code[k], now), len(self.code[k]) - 1)
             hit = known & (self.code[k][e] == now)
             n, d = self.n[k][c] - out_n, self.d[k][c] - out_d
-            out[hit] += np.log10(self.count[k][e][hit] / (n + d)[hit])
+            out[hit] += np.log10((self.count[k][e][hit] - DISCOUNT) / n[hit])
             miss = known & ~hit
             open_ = miss & (d > 0)  # else nothing is left here: the escape is sure
-            out[open_] += np.log10(d[open_] / (n + d)[open_])
+            out[open_] += np.log10(DISCOUNT * d[open_] / n[open_])
             done |= hit
             out_d = np.where(miss, self.d[k][c], 0.0)
             out_n = np.where(miss, self.out_n[k][c], 0.0)
@@ -266,7 +267,7 @@ def whole_trie(counts: DataFrame) -> DataFrame:
 
 def longest_costs(entries: DataFrame) -> DataFrame:
     """code, n, cost: bytes seen in their longest context."""
-    return entries.where(F.col("entry") >= ORDER << 56).select(F.col("entry").bitwiseAND(F.lit((1 << 56) - 1)).alias("code"), "n", F.log10(F.col("n") / (F.col("ctx_n") + F.col("ctx_d"))).alias("cost"))
+    return entries.where(F.col("entry") >= ORDER << 56).select(F.col("entry").bitwiseAND(F.lit((1 << 56) - 1)).alias("code"), "n", F.log10((F.col("n") - DISCOUNT) / F.col("ctx_n")).alias("cost"))
 
 
 def contexts(entries: DataFrame) -> DataFrame:
@@ -286,8 +287,8 @@ def walked(levels: Column) -> Column:
         known = ~s["done"] & x["ctx_n"].isNotNull()
         hit, miss = known & x["n"].isNotNull(), known & x["n"].isNull()
         d = x["ctx_d"] - s["out_d"]
-        both = x["ctx_n"] - s["out_n"] + d
-        more = F.when(hit, F.log10(x["n"] / both)).when(miss & (d > 0), F.log10(d / both)).otherwise(0.0)  # d is 0: the escape is sure
+        left = x["ctx_n"] - s["out_n"]
+        more = F.when(hit, F.log10((x["n"] - DISCOUNT) / left)).when(miss & (d > 0), F.log10(DISCOUNT * d / left)).otherwise(0.0)  # d is 0: the escape is sure
         zero = F.lit(0.0)
         return F.struct((s["done"] | hit).alias("done"), F.when(miss, x["out_n"]).otherwise(zero).alias("out_n"), F.when(miss, x["ctx_d"]).otherwise(zero).alias("out_d"), (s["cost"] + more).alias("cost"))
 
