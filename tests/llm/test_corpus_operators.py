@@ -301,6 +301,51 @@ def test_ppm_scores_do_not_depend_on_what_is_broadcast(spark):
         assert got == pytest.approx(want), most
 
 
+def plain_ppm(training):
+    """A second, plain implementation: counts in dictionaries, byte by byte; gives a text's log10 probability."""
+    from kinloom.llm import ppm as M
+
+    counts = defaultdict(Counter)
+    coded = lambda t: b"\0" * M.ORDER + b"".join(w + b" " for w in low(t).translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).encode().split(b" ") if w) + b"\n"
+    for t in training:
+        data = coded(t)
+        for at in range(M.ORDER, len(data)):
+            for k in range(M.ORDER + 1):
+                counts[data[at - k : at]][data[at]] += 1
+
+    def score(t):
+        data, total = coded(t), 0.0
+        for at in range(M.ORDER, len(data)):
+            gone = set()
+            for k in range(M.ORDER, -1, -1):
+                seen = {b: n for b, n in counts.get(data[at - k : at], {}).items() if b not in gone}
+                if not seen:
+                    continue
+                if data[at] in seen:
+                    total += math.log10((seen[data[at]] - M.DISCOUNT) / sum(seen.values()))
+                    break
+                total += math.log10(M.DISCOUNT * len(seen) / sum(seen.values()))
+                gone |= set(seen)
+            else:
+                total -= math.log10(256 - len(gone))
+        return total
+
+    return score
+
+
+def test_ppm_equals_a_plain_implementation(spark):
+    from kinloom.llm import ppm as M
+
+    rows = [(k, prose(k, 30, 30 + k) + f" Once{k}X only\there {'é' * (k % 3)}") for k in range(60)] + [(60, None), (61, ""), (62, " \n "), (None, "caf\u00e9 zq!"), (5, prose(5, 20))]
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    want = plain_ppm([t or "" for i, t in rows if not held(i)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (20, 1_500_000):
+        got = sorted((str(r.doc_id), r.score) for r in M.score(docs, max_entries=most).collect())
+        assert [i for i, _ in got] == sorted(str(i) for i, _ in rows)
+        assert [s for _, s in got] == pytest.approx([s for _, s in sorted((str(i), want(t or "")) for i, t in rows)])
+
+
 def _entries(texts):
     from kinloom.llm import ppm as M
 
@@ -637,16 +682,90 @@ def test_sharding(spark, docs):
     assert S.shard(empty(spark, docs)).count() == 0
 
 
-def test_pipeline_stages(spark):
+def pipeline_tables(spark, folder, rows, items, labels):
+    for name, data, schema in (("documents", rows, "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", items, "item_id long, text string"), ("labels", labels, "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     from kinloom.llm import queries as Q
     from kinloom.llm.shared import settle
 
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, n = docs.columns, docs.count()
-    for k, (name, stage) in enumerate(Q.STAGES):
-        out = settle(stage(spark, docs, sf), name)
-        if k < 4:
-            assert out.columns == columns and 0 < out.count() <= docs.count(), name
-            docs = out
-    assert docs.count() < n and out.select("doc_id").distinct().count() == docs.count()
+    rng = random.Random(3)
+    texts = {i: prose(i, 80 + i, 3000) for i in range(40)}
+    for i in range(40, 70):  # copies, near and exact
+        w = texts[i % 10].split()
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = f"c{i}"
+        texts[i] = " ".join(w)
+    texts |= {70 + i: prose(200 + i, 20) for i in range(5)}  # too short
+    texts |= {80 + i: " ".join(prose(300 + i, 12, 3000) for _ in range(2)) + " " + prose(320 + i, 70, 3000) for i in range(5)}
+    texts |= {90: None, 91: "", 92: "same three words " * 40, 93: prose(400, 90, 3000) + " mail a.b@c.example.com or 4111 1111 1111 1111", 94: texts[11] + " x"}
+    rows = [(i, t, "en", "s", len(t) if t else None) for i, t in texts.items()] + [(None, prose(500, 70, 3000), None, None, None), (12, texts[12], "en", "s", 1)]
+    items = [(1, " ".join(texts[20].split()[10:40])), (2, texts[21][:200]), (3, None), (4, " ".join(texts[22].split()[:13]))]
+    docs = pipeline_tables(spark, str(tmp_path), rows, items, [(None, 1, 0)])
+    columns, sf = docs.columns, str(tmp_path)
+
+    def ids(df):
+        return Counter(r.doc_id for r in df.select("doc_id").collect())
+
+    def run(k, docs):
+        return settle(Q.STAGES[k][1](spark, docs, sf), Q.STAGES[k][0])
+
+    # Without labels, only the base rule rejects.
+    def fails(t):
+        w = WORD.findall(t or "")
+        g = Counter(zip(w, w[1:], w[2:]))
+        again = {k + j for k in range(len(w) - 2) if g[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        return len(w) < 50 or 100 * len(again) > 50 * len(w)
+
+    good = [r for r in rows if not fails(r[1])]
+    one = run(0, docs)
+    assert one.columns == columns and ids(one) == Counter(r[0] for r in good) and 70 not in ids(one) and 92 not in ids(one)
+
+    root = near_components([r[:2] for r in good], 5)
+    kept = [r for r in good if r[0] is None or root[r[0]] == r[0]]
+    two = run(1, one)
+    assert two.columns == columns and ids(two) == Counter(r[0] for r in kept) and len(kept) < len(good) - 10
+
+    find = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+").findall
+
+    def hit(t):
+        w, found = find(low(t)), set()
+        for _, item in items:
+            own = find(low(item))
+            n = min(13, len(own))
+            windows = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)} if own else set()
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    found |= set(range(k, k + n))
+        return bool(found) and 20 * len(found) >= len(w)
+
+    clean = [r for r in kept if not hit(r[1])]
+    three = run(2, two)
+    assert three.columns == columns and ids(three) == Counter(r[0] for r in clean) and {20, 21, 22} & set(ids(three)) == set()
+
+    four = run(3, three)
+    new = {r.doc_id: r for r in four.collect()}
+    assert four.columns == columns and ids(four) == ids(three)
+    for i, t, *_ in clean:
+        assert (new[i].text == t) == (i != 93) and new[i].n_chars == len(new[i].text)
+    assert "4111 1111" not in new[93].text and "a.b@" not in new[93].text
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = Counter()
+    for r in Q.STAGES[4][1](spark, four, sf).collect():
+        size[r.doc_id] += r.length
+    repeated = ids(four)
+    assert size == {i: repeated[i] * (len(tok.encode(r.text, add_special_tokens=False).ids) + 1) for i, r in new.items()}
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    pipeline_tables(spark, str(tmp_path), [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
