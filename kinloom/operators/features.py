@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions.text import non_empty
 from ..session import ship
+from ..skew import join_groups
 
 NAME = ["name_token_set_ratio", "name_token_sort_ratio", "name_token_jaccard", "name_partial_ratio", "name_edit_ratio", "name_jaro_winkler", "name_char_jaccard", "name_phonetic_match", "name_len_ratio", "name_token_count_delta", "name_first_token_match", "name_legal_match", "name_missing_left", "name_missing_right"]
 ADDRESS = ["addr_token_jaccard", "addr_token_set_ratio", "addr_char_jaccard", "addr_house_match", "addr_house_similarity", "addr_postal_match", "addr_city_match", "addr_state_match", "addr_tail2_match", "addr_landmark_jaccard", "addr_len_ratio", "addr_missing_left", "addr_missing_right"]
 CONTEXT = ["ctx_country_match", "ctx_country_known", "ctx_country_missing", "ctx_source_b", "ctx_candidate_degree", "ctx_source_frequency", "ctx_entity_candidate_count", "ctx_shared_block_keys"]
 COLUMNS = NAME + ADDRESS + CONTEXT
+HOT = 20_000
 
 
 def with_context(pairs: DataFrame, norm: DataFrame) -> DataFrame:
-    """Adds degree (pairs of the pool record), name frequency in the pool, and candidates of the entity."""
-    pool = norm.where("source > 1")
+    """Adds degree (pairs of the pool record), name frequency in the pool, and candidates of the entity.
+
+    Names of HOT records or more, of which there are few, are counted by broadcast.
+    """
+    pool = norm.where("source > 1").select(F.col("entity_id").alias("pool_id"), "name_norm")
     often = pool.groupBy("name_norm").agg(F.count(F.lit(1)).alias("frequency"))
-    frequency = pool.select(F.col("entity_id").alias("pool_id"), "name_norm").join(often, "name_norm").select("pool_id", "frequency")
+    frequency = join_groups(pool, often, "name_norm", HOT, "frequency").select("pool_id", "frequency")
     degree = pairs.groupBy("pool_id").agg(F.count(F.lit(1)).alias("degree"))
+    of_record = degree.join(frequency, "pool_id")
     own = pairs.groupBy("s1_id").agg(F.count(F.lit(1)).alias("candidates"))
-    return pairs.join(degree, "pool_id").join(own, "s1_id").join(frequency, "pool_id")
+    return pairs.join(of_record, "pool_id").join(own, "s1_id")
 
 
 def prepared(norm: DataFrame) -> DataFrame:
@@ -41,13 +47,13 @@ def prepared(norm: DataFrame) -> DataFrame:
     )
 
 
-def features(pairs: DataFrame, norm: DataFrame, known_countries: list[str]) -> DataFrame:
-    """s1_id, pool_id and the 35 features in their fixed order."""
+def features(pairs: DataFrame, norm: DataFrame, known_countries: list[str], with_counts: bool = True) -> DataFrame:
+    """s1_id, pool_id and the 35 features in their fixed order; with_counts=False: `pairs` has the context counts already."""
     ship(pairs.sparkSession)
     one = prepared(norm)
     left = one.select(F.col("entity_id").alias("s1_id"), F.struct(*[c for c in one.columns if c != "entity_id"]).alias("a"))
     right = one.select(F.col("entity_id").alias("pool_id"), F.struct(*[c for c in one.columns if c != "entity_id"]).alias("b"))
-    p = with_context(pairs, norm).join(left, "s1_id").join(right, "pool_id")
+    p = (with_context(pairs, norm) if with_counts else pairs).join(left, "s1_id").join(right, "pool_id")
     name = S.measured(F.col("a.name_norm"), F.col("b.name_norm"), "token_set", "token_sort", "partial", "indel", "jaro_winkler")
     addr = S.measured(F.col("a.address_core"), F.col("b.address_core"), "token_set")
     house = S.measured(F.col("a.addr_house"), F.col("b.addr_house"), "indel")

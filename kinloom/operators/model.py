@@ -6,9 +6,10 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import exists, read_json, write_json
 from .features import COLUMNS
 
 
@@ -31,6 +32,22 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select("s1_id", "pool_id", vector_to_array("probability")[1].alias("score"))
 
 
+def save(model: PipelineModel, path: str, spark: SparkSession, **about) -> None:
+    """The model, and beside it its columns in order and what else is to be known of it."""
+    model.write().overwrite().save(f"{path}/model")
+    write_json(spark, {"columns": model.stages[0].getInputCols(), **about}, f"{path}/columns.json")
+
+
+def load(path: str, spark: SparkSession) -> tuple[PipelineModel, dict]:
+    """The model and what was saved with it; without the list of columns, or with another one, it is refused."""
+    if not exists(spark, f"{path}/columns.json"):
+        raise FileNotFoundError(f"{path}/columns.json is missing: the order of columns is not known")
+    about = read_json(spark, f"{path}/columns.json")
+    if about["columns"] != COLUMNS:
+        raise ValueError("the model was trained on other columns")
+    return PipelineModel.load(f"{path}/model"), about
+
+
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
     pairs = zip(model.stages[0].getInputCols(), model.stages[1].featureImportances.toArray().tolist())
     return sorted(pairs, key=lambda x: (-x[1], x[0]))

@@ -1,4 +1,9 @@
-"""Linkage frames derived from the test tables, in DataFrame form and as DuckDB SQL."""
+"""Linkage frames derived from the test tables, in DataFrame form and as DuckDB SQL.
+
+The tables hold no business records, so these are made of documents: a name, an
+address and a country from a text's first sentence, some of its words and its
+length. They are fixtures for the linkage queries, not a reading of the texts.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,7 @@ from ..functions.text import basic_clean
 from ..operators import blocking, matching
 from ..functions import similarity as S
 
+LEGAL, STATES = ("", "llc", "ltd", "pvt ltd"), ("", "tx", "ny")
 COUNTRY = {"en": "US", "es": "India", "fr": "France", "de": "Germany"}
 
 
@@ -31,6 +37,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat((1 + F.col("n_chars") % 900).cast("string"), F.lit(" "), word(F.lit(20)), F.lit(" Street, "), word(F.lit(21)), F.lit(", "), (10000 + (F.col("n_chars") * 7919) % 90000).cast("string")).alias("business_address"),
         country.alias("country"),
         F.lower(F.substring("text", 1, 80)).alias("head"),
+        "n_chars",
     )
 
 
@@ -38,11 +45,11 @@ def norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in normalised columns, with plain rules that SQL can follow; `normalise` has the full ones."""
     r = records(spark, sf_dir)
     part = lambda i: F.regexp_extract("business_address", "^([0-9]+) (q[a-z]*) Street, (q[a-z]*), ([0-9]+)$", i)
-    none = F.lit("")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("n_chars") % len(x) + 1).cast("int"))
     return r.select(
-        "entity_id", "source", F.lower("country").alias("country_norm"), F.array_join(basic_clean(F.col("business_name")), " ").alias("name_norm"), none.alias("name_legal"),
+        "entity_id", "source", F.lower("country").alias("country_norm"), F.array_join(basic_clean(F.col("business_name")), " ").alias("name_norm"), pick(*LEGAL).alias("name_legal"),
         F.concat_ws(" ", part(1), part(2), part(3), part(4)).alias("address_core"), F.concat_ws(" ", part(1), part(2), part(3), part(4)).alias("address_norm"),
-        part(1).alias("addr_house"), part(4).alias("addr_postal"), none.alias("addr_state"), part(3).alias("addr_city"), F.concat_ws(" ", part(2), part(3)).alias("addr_tail2"), none.alias("landmark_tokens"), "head",
+        part(1).alias("addr_house"), part(4).alias("addr_postal"), pick(*STATES).alias("addr_state"), part(3).alias("addr_city"), F.concat_ws(" ", part(2), part(3)).alias("addr_tail2"), F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("bank "), part(2))).otherwise("").alias("landmark_tokens"), "head",
     )
 
 
@@ -92,11 +99,12 @@ _W = "'q' || lower(regexp_replace(coalesce(string_split(text, ' ')[{}], ''), '[^
 RECORDS = f"""rec AS (SELECT 'S' || (1 + doc_id % 3) || '-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS entity_id, CAST(1 + doc_id % 3 AS INTEGER) AS source,
  trim(left(regexp_extract(text, '^[^.\\n]*'), 60)) AS business_name,
  CAST(1 + n_chars % 900 AS VARCHAR) || ' ' || {_W.format(21)} || ' Street, ' || {_W.format(22)} || ', ' || CAST(10000 + (n_chars * 7919) % 90000 AS VARCHAR) AS business_address,
- CASE lang WHEN 'en' THEN 'US' WHEN 'es' THEN 'India' WHEN 'fr' THEN 'France' WHEN 'de' THEN 'Germany' ELSE '' END AS country, lower(left(text, 80)) AS head,
+ CASE lang WHEN 'en' THEN 'US' WHEN 'es' THEN 'India' WHEN 'fr' THEN 'France' WHEN 'de' THEN 'Germany' ELSE '' END AS country, lower(left(text, 80)) AS head, n_chars,
  CAST(1 + n_chars % 900 AS VARCHAR) AS house, {_W.format(21)} AS q1, {_W.format(22)} AS q2, CAST(10000 + (n_chars * 7919) % 90000 AS VARCHAR) AS postal
  FROM documents WHERE text IS NOT NULL)"""
 NORM = f"""{RECORDS}, norm AS (SELECT entity_id, source, lower(country) AS country_norm, array_to_string({clean_sql('business_name')}, ' ') AS name_norm,
- concat_ws(' ', house, q1, q2, postal) AS address_core, house AS addr_house, postal AS addr_postal, q2 AS addr_city, concat_ws(' ', q1, q2) AS addr_tail2, head FROM rec)"""
+ concat_ws(' ', house, q1, q2, postal) AS address_core, house AS addr_house, postal AS addr_postal, q2 AS addr_city, concat_ws(' ', q1, q2) AS addr_tail2, head,
+ {list(LEGAL)}[n_chars % {len(LEGAL)} + 1] AS name_legal, {list(STATES)}[n_chars % {len(STATES)} + 1] AS addr_state, CASE WHEN n_chars % 2 = 0 THEN 'bank ' || q1 ELSE '' END AS landmark_tokens FROM rec)"""
 _STOP = ", ".join(f"'{w}'" for w in V.NAME_STOPWORDS)
 POSTINGS = f"""{NORM}, tok AS (SELECT *, list_filter(string_split(name_norm, ' '), lambda t: length(t) >= 3 AND NOT list_contains([{_STOP}], t))[1:4] AS ct,
  list_transform(list_sort(list_transform(list_filter(string_split(address_core, ' '), lambda t: length(t) >= 4 AND NOT regexp_full_match(t, '[0-9]+')), lambda t, i: {{'l': -length(t), 'i': i, 't': t}})), lambda x: x.t)[1:3] AS adr FROM norm WHERE name_norm <> '' OR address_core <> ''),

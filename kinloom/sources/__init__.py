@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import exists, is_folder, write_json
+
 RAW = "entity_id string, business_name string, business_address string, country string"
 TRUTH = "source1_entity_id string, matched_entity_ids string"
 TSV = {"sep": "\t", "header": True, "encoding": "UTF-8", "quote": '"', "escape": '"', "enforceSchema": True}
 
 
-def dataset_folder(candidates: list[str]) -> str:
-    """The first folder that holds train/ and test/."""
+def dataset_folder(spark: SparkSession, candidates: list[str]) -> str:
+    """The first folder, of any file system that Spark reads, that holds train/ and test/."""
     for c in candidates:
-        if all(os.path.isdir(os.path.join(c, s)) for s in ("train", "test")):
+        if all(is_folder(spark, f"{c}/{s}") for s in ("train", "test")):
             return c
     raise FileNotFoundError(f"none of {candidates} holds train/ and test/")
 
@@ -25,8 +24,9 @@ def source_path(folder: str, split: str, source: int) -> str:
     return f"{folder}/{split}/{split}_source{source}.tsv"
 
 
-def truth_path(folder: str, split: str) -> str:
-    return f"{folder}/{split}/{split}_ground_truth.tsv"
+def truth_path(folder: str, split: str, override: str | None = None) -> str:
+    """Where the truth is; `override` names another file, as for a sliced run."""
+    return override or f"{folder}/{split}/{split}_ground_truth.tsv"
 
 
 def source_of(entity_id):
@@ -64,24 +64,31 @@ def truth_pairs(truth: DataFrame) -> DataFrame:
     return truth.select("s1_id", F.explode("matches").alias("pool_id")).distinct()
 
 
+def _mark(df: DataFrame):
+    """Rows and a sum of their hashes: tables of the same rows in any order have the same."""
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))).first())
+
+
 def write_cache(df: DataFrame, path: str) -> int:
-    """Normalised records as zstd Parquet by source; the row count is checked after the write."""
-    df.write.mode("overwrite").option("compression", "zstd").partitionBy("source").parquet(path)
-    wrote, there = df.count(), df.sparkSession.read.parquet(path).count()
+    """Normalised records as zstd Parquet by source, in one pass; the rows counted on the way are those in the footers after it."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", "zstd").partitionBy("source").parquet(path)
+    wrote, there = seen.get["rows"], df.sparkSession.read.parquet(path).count()
     if wrote != there:
         raise RuntimeError(f"{path} holds {there} of {wrote} rows")
     return there
 
 
 def cached(df: DataFrame, path: str) -> DataFrame:
-    """The cache at `path`, made anew unless it has as many rows as `df`."""
+    """The cache at `path`, made anew unless it holds just the rows of `df`: their number and their hashes count."""
     spark = df.sparkSession
-    try:
-        if spark.read.parquet(path).count() == df.count():
-            return spark.read.parquet(path)
-    except Exception as e:  # no such path yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
+    typed = lambda x: x.select(*[F.col(f.name).cast(f.dataType) for f in df.schema.fields])
+    if exists(spark, f"{path}/_SUCCESS"):
+        old = spark.read.parquet(path)
+        if set(old.columns) == set(df.columns) and _mark(typed(old)) == _mark(df):
+            return old
     write_cache(df, path)
     return spark.read.parquet(path)
 
@@ -100,10 +107,31 @@ def id_lists(entities: DataFrame, pairs: DataFrame, name: str = "matched_entity_
     return entities.select("s1_id").join(lists, "s1_id", "left").select(F.col("s1_id").alias("source1_entity_id"), F.coalesce(name, F.lit("")).alias(name))
 
 
-def write_lists(lists: DataFrame, path: str) -> None:
-    lists.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+def write_lists(lists: DataFrame, path: str, one_file: bool = False) -> None:
+    """Tab-separated with a header; `one_file` gathers the rows in one part, for lists that one disk holds."""
+    out = lists.coalesce(1) if one_file else lists
+    out.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+
+
+def read_lists(spark: SparkSession, path: str) -> DataFrame:
+    """A written file of lists with the header it has; missing values are empty strings."""
+    return spark.read.options(sep="\t", header=True, encoding="UTF-8").csv(path).na.fill("")
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    write_json(spark, report, path)
+
 
+def claims_in_blocks(spark: SparkSession, pairs: DataFrame, score, path: str, blocks: int, key: str) -> DataFrame:
+    """Claims of all pairs, made block by block of entities; blocks that were finished under the same key are not made again.
 
-def write_report(report: dict, path: str) -> None:
-    with open(path, "w") as f:
-        json.dump(report, f, indent=2, sort_keys=True)
+    `score` gives the claims of a frame of pairs. `key` names the model and the
+    threshold: a run with another one begins anew. A block's folder counts as
+    finished by the mark of its commit.
+    """
+    part = F.pmod(F.xxhash64("s1_id"), F.lit(blocks))
+    folders = [f"{path}/{key}/blocks={blocks}/block={k}" for k in range(blocks)]
+    for k, folder in enumerate(folders):
+        if not exists(spark, f"{folder}/_SUCCESS"):
+            score(pairs.where(part == k)).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(*folders)
