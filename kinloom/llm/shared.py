@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.session import ship
+from kinloom.skew import hot_size, join_groups
+from kinloom.storage import drop_table, fresh_path, settle, shared_dir
+
+__all__ = ["bounded_batches", "drop_table", "fresh_path", "hot_size", "join_groups", "settle", "shared_dir", "table", "text_or_empty", "word_array"]
 
 #: ASCII white space that separates words: space, tab, LF, VT, FF, CR.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -42,55 +42,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session may go without: it gets one of its own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + os.path.join(tempfile.gettempdir(), "kinloom-shared")
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/kinloom-{tag}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.settled_at = path
-    return out
-
-
-def drop_table(*tables: DataFrame) -> None:
-    """Removes the files of frames made by settle(), once nothing reads them any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.settled_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def hot_size(rows: int) -> int:
-    """From how many rows on a key is hot: at most 20,000 of `rows` keys can be."""
-    return max(10_000, rows // 20_000)
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, hot: int, n: str = "n") -> DataFrame:
-    """rows with the one row that `groups` has a key; column `n` there counts the key's rows.
-
-    Keys of `hot` rows or more, a bounded number, are broadcast, so that no task
-    gets all rows of one; the others are shuffled. `rows` is read twice: it
-    should be a written table.
-    """
-    large = groups.where(F.col(n) >= hot)
-    cold = rows.join(F.broadcast(large.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(large), key).unionByName(cold.join(groups.where(F.col(n) < hot), key))
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
