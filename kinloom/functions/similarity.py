@@ -66,12 +66,19 @@ def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
         a, b = b, a
     if not a:
         return 1.0 if not b else 0.0
+    if least and lcs(a, b) < needed(len(a), least) - 1e-9:
+        return 0.0
     best = _windows(a, b)
     if len(a) == len(b):
         best = max(best, _windows(b, a))
     return best if best >= least else 0.0
 
 
+def needed(size, least: float):
+    """What a string of this size shares at least with one that has a window of ratio `least`."""
+    return least / 2 * (1 + least / (2 - least)) * size
+
+
 def _windows(a: str, b: str) -> float:
     m = len(a)
     return max(indel_ratio(a, b[max(0, s) : max(0, s) + m + min(s, 0)]) for s in range(1 - m, len(b)))
@@ -97,7 +104,8 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro) if jaro > 0.7 else jaro
 
 
-WORD = 64
+#: Bits of a word, and pairs measured at a time, so that their arrays stay in a core's cache.
+WORD, AT_A_TIME = 64, 1000
 
 
 class Strings:
@@ -175,9 +183,8 @@ def _partial_column(a: list[str], b: list[str], least: float) -> np.ndarray:
     """Windows are tried only where they can reach `least`: one that does shares at least this much of the shorter string."""
     short, long = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)])
     one = Strings(list(short))
-    need = least / 2 * (1 + least / (2 - least)) * one.size
     out = np.where((one.size == 0) & (np.array([len(x) for x in long]) == 0), 1.0, 0.0)
-    tried = np.flatnonzero((lcs_column(one, Strings(list(long))) >= need - 1e-9) & (one.size > 0)).tolist()
+    tried = np.flatnonzero((lcs_column(one, Strings(list(long))) >= needed(one.size, least) - 1e-9) & (one.size > 0)).tolist()
     for at in range(0, len(tried), 256):
         part = [(k, short[k], long[k]) for k in tried[at : at + 256]]
         part += [(k, y, x) for k, x, y in part if len(x) == len(y)]
@@ -229,7 +236,7 @@ def measure_columns(left: list[str], right: list[str], names: tuple[str, ...]) -
     for n in names:
         values = np.zeros(len(pairs))
         if a:
-            values[fits] = COLUMN_MEASURES[n](a, b)
+            values[fits] = np.concatenate([COLUMN_MEASURES[n](a[k : k + AT_A_TIME], b[k : k + AT_A_TIME]) for k in range(0, len(a), AT_A_TIME)])
         for k in few:
             values[k] = MEASURES[n](*pairs[k])
         out[n] = values[at]
@@ -248,15 +255,24 @@ def measured(a: Column, b: Column, *names: str) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays as sets; 0 where either is empty."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / either).otherwise(0.0)
+    """Of two arrays without repeats; 0 where either is empty."""
+    # One element, so that the intersection is made once.
+    share = F.get(F.transform(F.array(F.size(F.array_intersect(a, b))), lambda both: both / (F.size(a) + F.size(b) - both)), 0)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), share).otherwise(0.0)
 
 
 def char_grams(text: Column, n: int = 3) -> Column:
-    """Distinct n-grams of a text with a space at either end."""
+    """Distinct n-grams (n up to 3) of a text with a space at either end, as numbers: 21 bits hold a code point."""
     t = F.concat(F.lit(" "), text, F.lit(" "))
-    return F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    points = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    # One element, so that the code points are made once.
+    grams = F.flatten(F.transform(F.array(points), lambda ps: F.transform(F.sequence(F.lit(0), F.greatest(F.size(ps) - n, F.lit(0))), lambda i: sum(F.get(ps, i + k) * (1 << 21 * k) for k in range(n)))))
+    return F.when(F.length(t) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
+
+
+def token_hashes(tokens: Column) -> Column:
+    """Distinct tokens as 64-bit hashes: two of one pair of records meet with a chance below 1e-17."""
+    return F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
 
 
 def soundexes(tokens: Column) -> Column:

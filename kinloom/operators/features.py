@@ -1,7 +1,11 @@
-"""The 35 pair features: token arrays once a record, then two joins and one Arrow pass for string metrics."""
+"""The 35 pair features: token arrays once a record, two joins, native values, then one Arrow pass for string measures."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from ..functions import similarity as S
 from ..functions.text import non_empty
 from ..session import ship
 from ..skew import join_groups
+from ..storage import settle
 
 NAME = ["name_token_set_ratio", "name_token_sort_ratio", "name_token_jaccard", "name_partial_ratio", "name_edit_ratio", "name_jaro_winkler", "name_char_jaccard", "name_phonetic_match", "name_len_ratio", "name_token_count_delta", "name_first_token_match", "name_legal_match", "name_missing_left", "name_missing_right"]
 ADDRESS = ["addr_token_jaccard", "addr_token_set_ratio", "addr_char_jaccard", "addr_house_match", "addr_house_similarity", "addr_postal_match", "addr_city_match", "addr_state_match", "addr_tail2_match", "addr_landmark_jaccard", "addr_len_ratio", "addr_missing_left", "addr_missing_right"]
@@ -28,48 +33,87 @@ def with_context(pairs: DataFrame, norm: DataFrame) -> DataFrame:
     degree = pairs.groupBy("pool_id").agg(F.count(F.lit(1)).alias("degree"))
     of_record = degree.join(frequency, "pool_id")
     own = pairs.groupBy("s1_id").agg(F.count(F.lit(1)).alias("candidates"))
-    return pairs.join(of_record, "pool_id").join(own, "s1_id")
+    # Merged, not broadcast: else few pairs would be sent to the one task that holds few counts, and all features made there.
+    return pairs.join(of_record.hint("merge"), "pool_id").join(own.hint("merge"), "s1_id")
 
 
 def prepared(norm: DataFrame) -> DataFrame:
-    """Token, gram and sound sets of each record, made before pairs multiply it."""
+    """Token, gram and sound sets of each record, written before pairs multiply it: left lazy, Spark would make them a pair."""
     tokens = lambda c: non_empty(F.split(F.col(c), " "))
-    long = lambda c: F.array_distinct(F.filter(tokens(c), lambda t: F.length(t) >= 2))
-    return norm.select(
+    long = lambda c: S.token_hashes(F.filter(tokens(c), lambda t: F.length(t) >= 2))
+    sets = norm.select(
         "*",
         tokens("name_norm").alias("nt"),
         long("name_norm").alias("ns"),
         S.char_grams(F.col("name_norm")).alias("ng"),
-        S.soundexes(tokens("name_norm")).alias("nx"),
+        S.token_hashes(S.soundexes(tokens("name_norm"))).alias("nx"),
         long("address_core").alias("as_"),
         S.char_grams(F.col("address_core")).alias("ag"),
         long("landmark_tokens").alias("ls"),
     )
+    return settle(sets, "sets")
+
+
+#: Features that Python measures: the fields of either record, and the measure.
+STRINGS = {
+    "name_token_set_ratio": ("name_norm", "token_set"), "name_token_sort_ratio": ("name_norm", "token_sort"), "name_partial_ratio": ("name_norm", "partial"), "name_edit_ratio": ("name_norm", "indel"),
+    "name_jaro_winkler": ("name_norm", "jaro_winkler"), "addr_token_set_ratio": ("address_core", "token_set"), "addr_house_similarity": ("addr_house", "indel"),
+}
 
 
-def features(pairs: DataFrame, norm: DataFrame, known_countries: list[str], with_counts: bool = True) -> DataFrame:
-    """s1_id, pool_id and the 35 features in their fixed order; with_counts=False: `pairs` has the context counts already."""
-    ship(pairs.sparkSession)
+def with_strings(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """s1_id, pool_id and `columns`, string measures filled in from the columns a_* and b_* in one Arrow pass.
+
+    A null there means that either side lacks the field: its measures are 0.
+    """
+    asked = {f: sorted({m for c, (g, m) in STRINGS.items() if g == f and c in columns}) for f in ("name_norm", "address_core", "addr_house")}
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = {}
+            for f, measures in asked.items():
+                if not measures:
+                    continue
+                a, b = batch.column(names.index(f"a_{f}")), batch.column(names.index(f"b_{f}"))
+                there = np.flatnonzero(np.asarray(a.is_valid()) & np.asarray(b.is_valid()))
+                found = S.measure_columns(a.take(pa.array(there)).to_pylist(), b.take(pa.array(there)).to_pylist(), tuple(measures))
+                for m, v in found.items():
+                    value[f, m] = np.zeros(batch.num_rows)
+                    value[f, m][there] = v
+            made = [pa.array(value[STRINGS[c]]) if c in STRINGS else batch.column(names.index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["s1_id", "pool_id", *columns])
+
+    ship(rows.sparkSession)
+    return rows.mapInArrow(run, "s1_id string, pool_id string, " + ", ".join(f"{c} double" for c in columns))
+
+
+def features(pairs: DataFrame, norm: DataFrame, known_countries: list[str], with_counts: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """s1_id, pool_id and the 35 features in their fixed order, or only `columns`.
+
+    with_counts=False: `pairs` has the context counts already. Native values
+    are made first, so that only numbers and strings go to Python, not sets.
+    """
+    columns = list(COLUMNS if columns is None else columns)
     one = prepared(norm)
     left = one.select(F.col("entity_id").alias("s1_id"), F.struct(*[c for c in one.columns if c != "entity_id"]).alias("a"))
     right = one.select(F.col("entity_id").alias("pool_id"), F.struct(*[c for c in one.columns if c != "entity_id"]).alias("b"))
-    p = (with_context(pairs, norm) if with_counts else pairs).join(left, "s1_id").join(right, "pool_id")
-    name = S.measured(F.col("a.name_norm"), F.col("b.name_norm"), "token_set", "token_sort", "partial", "indel", "jaro_winkler")
-    addr = S.measured(F.col("a.address_core"), F.col("b.address_core"), "token_set")
-    house = S.measured(F.col("a.addr_house"), F.col("b.addr_house"), "indel")
-    p = p.select("*", name.alias("m"), addr.alias("ma"), house.alias("mh"))
+    # Features cost far more than their rows weigh: they are dealt over all cores, however few bytes they are.
+    spark = pairs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    p = (with_context(pairs, norm) if with_counts else pairs).repartition(tasks, "s1_id", "pool_id").join(left, "s1_id").join(right, "pool_id")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     has_name = (a("name_norm") != "") & (b("name_norm") != "")
     has_addr = (a("address_core") != "") & (b("address_core") != "")
+    has_house = has_addr & (a("addr_house") != "") & (b("addr_house") != "")
     num = lambda c: c.cast("double")
     country = (a("country_norm") != "") & (b("country_norm") != "")
     value = {
-        "name_token_set_ratio": F.col("m.token_set"), "name_token_sort_ratio": F.col("m.token_sort"), "name_token_jaccard": S.jaccard(a("ns"), b("ns")), "name_partial_ratio": F.col("m.partial"),
-        "name_edit_ratio": F.col("m.indel"), "name_jaro_winkler": F.col("m.jaro_winkler"), "name_char_jaccard": S.jaccard(a("ng"), b("ng")), "name_phonetic_match": S.jaccard(a("nx"), b("nx")),
+        "name_token_jaccard": S.jaccard(a("ns"), b("ns")), "name_char_jaccard": S.jaccard(a("ng"), b("ng")), "name_phonetic_match": S.jaccard(a("nx"), b("nx")),
         "name_len_ratio": S.length_ratio(a("name_norm"), b("name_norm")), "name_token_count_delta": num(F.abs(F.size(a("nt")) - F.size(b("nt")))), "name_first_token_match": num(F.get(a("nt"), 0) == F.get(b("nt"), 0)),
         "name_legal_match": S.same(a("name_legal"), b("name_legal")),
-        "addr_token_jaccard": S.jaccard(a("as_"), b("as_")), "addr_token_set_ratio": F.col("ma.token_set"), "addr_char_jaccard": S.jaccard(a("ag"), b("ag")), "addr_house_match": S.same(a("addr_house"), b("addr_house")),
-        "addr_house_similarity": F.when((a("addr_house") != "") & (b("addr_house") != ""), F.col("mh.indel")).otherwise(0.0), "addr_postal_match": S.same(a("addr_postal"), b("addr_postal")),
+        "addr_token_jaccard": S.jaccard(a("as_"), b("as_")), "addr_char_jaccard": S.jaccard(a("ag"), b("ag")), "addr_house_match": S.same(a("addr_house"), b("addr_house")),
+        "addr_postal_match": S.same(a("addr_postal"), b("addr_postal")),
         "addr_city_match": S.same(a("addr_city"), b("addr_city")), "addr_state_match": S.same(a("addr_state"), b("addr_state")), "addr_tail2_match": S.same(a("addr_tail2"), b("addr_tail2")),
         "addr_landmark_jaccard": S.jaccard(a("ls"), b("ls")), "addr_len_ratio": S.length_ratio(a("address_core"), b("address_core")),
         "ctx_country_match": S.same(a("country_norm"), b("country_norm")), "ctx_country_known": num(a("country_norm").isin(*known_countries) & b("country_norm").isin(*known_countries)) if known_countries else F.lit(0.0),
@@ -79,11 +123,18 @@ def features(pairs: DataFrame, norm: DataFrame, known_countries: list[str], with
     for side, c in (("left", a), ("right", b)):
         value[f"name_missing_{side}"], value[f"addr_missing_{side}"] = num(c("name_norm") == ""), num(c("address_core") == "")
     cols = []
-    for f in COLUMNS:
+    for f in columns:
+        if f in STRINGS:
+            continue
         v = value[f]
         if f in NAME and "missing" not in f:
             v = F.when(has_name, v).otherwise(0.0)
         if f in ADDRESS and "missing" not in f:
             v = F.when(has_addr, v).otherwise(0.0)
         cols.append(F.coalesce(v, F.lit(0.0)).alias(f))
-    return p.select("s1_id", "pool_id", *cols)
+    fields = dict.fromkeys(STRINGS[f][0] for f in columns if f in STRINGS)
+    if not fields:
+        return p.select("s1_id", "pool_id", *cols)
+    fine = {"name_norm": has_name, "address_core": has_addr, "addr_house": has_house}
+    texts = [F.when(fine[f], side(f)).alias(f"{n}_{f}") for f in fields for n, side in (("a", a), ("b", b))]
+    return with_strings(p.select("s1_id", "pool_id", *cols, *texts), columns)

@@ -213,7 +213,7 @@ _G = "list_distinct(list_transform(range(1, greatest(length(' ' || {0} || ' ') -
 @query(f"WITH {R.CANDIDATES}, s AS (SELECT c.s1_id, c.pool_id, {R._SET.format('e.name_norm')} AS a, {R._SET.format('p.name_norm')} AS b, {_G.format('e.name_norm')} AS x, {_G.format('p.name_norm')} AS y, e.name_norm <> '' AND p.name_norm <> '' AS ok FROM cand c JOIN ent e ON c.s1_id = e.s1_id JOIN pl p ON c.pool_id = p.pool_id) SELECT s1_id, pool_id, CASE WHEN ok THEN {R.JACCARD.format(a='a', b='b')} ELSE 0.0 END AS name_token_jaccard, CASE WHEN ok THEN {R.JACCARD.format(a='x', b='y')} ELSE 0.0 END AS name_char_jaccard FROM s")
 def feat_jaccard(spark, sf_dir):
     n = R.norm(spark, sf_dir)
-    return features.features(R.candidates(n), n, ["us"]).select("s1_id", "pool_id", "name_token_jaccard", "name_char_jaccard")
+    return features.features(R.candidates(n), n, ["us"], columns=["name_token_jaccard", "name_char_jaccard"])
 
 
 _N = {"name": "a.name_norm <> '' AND b.name_norm <> ''", "addr": "a.address_core <> '' AND b.address_core <> ''"}
@@ -253,7 +253,7 @@ _COUNTS = "d AS (SELECT pool_id, count(*) AS degree FROM cand GROUP BY 1), k AS
 def feat_plain(spark, sf_dir):
     n = R.norm(spark, sf_dir)
     logs = [c for c, v in _FLAGS.items() if v.startswith("round")]
-    rows = features.features(R.candidates(n), n, ["us", "france"])
+    rows = features.features(R.candidates(n), n, ["us", "france"], columns=[*_PLAIN, *_FLAGS])
     return rows.select("s1_id", "pool_id", *[F.round(c, 9).alias(c) if c in logs else c for c in [*_PLAIN, *_FLAGS]])
 
 
@@ -272,13 +272,14 @@ def feat_plain(spark, sf_dir):
 )
 def rule_score(spark, sf_dir):
     n = R.norm(spark, sf_dir)
-    return matching.rule_score(features.features(R.candidates(n), n, ["us", "france"]))
+    return matching.rule_score(features.features(R.candidates(n), n, ["us", "france"], columns=list(matching.RULE)))
 
 
 @query()
 def pair_features(spark, sf_dir):
-    n = R.norm(spark, sf_dir)
-    return features.features(R.candidates(n), n, ["us", "france"])
+    """Records and candidates are written once; counts, sets and pairs read them."""
+    n = settle(R.norm(spark, sf_dir), "norm")
+    return features.features(settle(R.candidates(n), "candidates"), n, ["us", "france"])
 
 
 def _part_pairs(spark, sf_dir):
