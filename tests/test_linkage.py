@@ -208,6 +208,21 @@ def test_features_order_and_no_nulls(spark):
         assert all(v is not None and math.isfinite(v) for v in r[2:])
 
 
+def test_written_features_and_scores_are_not_made_anew(spark):
+    from kinloom.operators import features, matching
+    from kinloom.plans import catalogue, frames
+    from kinloom.storage import settle
+
+    n = settle(frames.norm(spark, "/root/testdata/sf0.01"), "norm")
+    pairs = settle(matching.label(frames.candidates(n), frames.truth(n)), "labelled")
+    parts = features.settled(pairs, n, ["us", "france"], keep=("label",), blocks=3)
+    whole = matching.label(features.features(pairs.drop("label"), n, ["us", "france"]), frames.truth(n)).select(*parts.columns)
+    assert parts.count() == pairs.count() and not parts.exceptAll(whole).count()
+    plan = catalogue.QUERIES["gbt_scores"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" not in plan
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_train_save_load_predict(spark, tmp_path):
     from kinloom import sources, storage
     from kinloom.operators import flow, matching, model
