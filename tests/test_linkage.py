@@ -223,6 +223,21 @@ def test_written_features_and_scores_are_not_made_anew(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_scores_need_only_columns_that_the_model_uses(spark):
+    from kinloom.operators import features, model
+
+    draw = random.Random(7)
+    rows = [(f"S1-{k}", f"S2-{k}", k % 2, *[draw.random() + (k % 2 if c in features.COLUMNS[2:4] else 0) for c in features.COLUMNS]) for k in range(400)]
+    df = spark.createDataFrame(rows, ["s1_id", "pool_id", "label", *features.COLUMNS]).coalesce(1)
+    fitted = model.train(df, rounds=2, depth=2)
+    asked = model.used(fitted)
+    assert 0 < len(asked) < 10 and set(asked) >= {c for c, v in model.importances(fitted) if v > 0}
+    few, whole = (dict((r.s1_id, r.score) for r in model.predict(fitted, x).collect()) for x in (df.select("s1_id", "pool_id", *asked), df))
+    assert few == whole and len(set(few.values())) > 1
+    with pytest.raises(ValueError):
+        model.predict(fitted, df.drop(asked[0]))
+
+
 def test_train_save_load_predict(spark, tmp_path):
     from kinloom import sources, storage
     from kinloom.operators import flow, matching, model
